@@ -14,11 +14,12 @@ from .media import op6_media_tiff
 from .mixing import op2_mixing
 from .ngram_join import op3_ngram_join
 from .pii import op9_pii
+from .toxicity import op7_toxicity
 from .urls import op5_sql, op5_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm_score, op2_mixing, op3_ngram_join, op4_license_scan, op5_url_filter, op6_media_tiff, op8_bpe, op9_pii, op10_vptree)
+    for f in (op1_lm_score, op2_mixing, op3_ngram_join, op4_license_scan, op5_url_filter, op6_media_tiff, op7_toxicity, op8_bpe, op9_pii, op10_vptree)
 }
 
 SQL: dict[str, str] = {"op5_url_filter": op5_sql()}
