@@ -286,11 +286,13 @@ def scrubbed(docs: DataFrame, text_col: str = "text", spans_col: str = "pii", di
     """The documents with personal data replaced in the text, and the spans of the text before that as an array.
 
     With digests: the counts and digests of the spans instead, and no text. Null text stays null and empty text empty,
-    without spans. Rows are kept one for one; texts of any length are read whole, in code points.
+    without spans. Rows are kept one for one; texts of any length are read whole, in code points. Columns of the added names
+    are replaced.
     """
     spans_type = f"`{spans_col}` array<struct<kind:string,start:int,end:int>>"
-    kept = [c for c in docs.columns if c != spans_col and not (digests and c == text_col)]
     added = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" if digests else spans_type
+    names = [*added.split()[::2], text_col] if digests else [spans_col]
+    kept = [c for c in docs.columns if c not in names]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = "".join(f"`{c}` {types[c]}, " for c in kept) + added
     wanted = model()

@@ -64,9 +64,13 @@ class Lexicon:
             node[""] = n
         # An edit leaves one half of a term as it is, at the start or the end of the word: only such words are walked.
         halves = [(t[: len(t) // 2], t[len(t) // 2 :]) for t, stem, _ in terms if not stem and len(t) >= FUZZY_FROM]
-        self.gate = re.compile("^(?:" + "|".join(map(re.escape, sorted({h for h, _ in halves}))) + ")|(?:" + "|".join(map(re.escape, sorted({t for _, t in halves}))) + ")$").search if halves and k else lambda w: None
+        either = [f"^(?:{'|'.join(map(re.escape, sorted({h for h, _ in halves})))})", f"(?:{'|'.join(map(re.escape, sorted({t for _, t in halves})))})$"] if halves and k else ["(?!)"]
+        self.gate = re.compile("|".join(either)).search
         self.known: dict[str, tuple[int, bool] | None] = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}  # what this process has met stays here
+
     def exact(self, word: str) -> int | None:
         """The term that is the word, or the shortest stem that it begins with."""
         node = self.trie
