@@ -91,13 +91,16 @@ def mix(docs: DataFrame, block_words: int = 64, shard_blocks: int = 1024, weight
     drawn = drawn.withColumn("count", F.floor(F.col("slots") * F.col("hi") - F.col("u")) - F.floor(F.col("slots") * F.col("lo") - F.col("u"))).where("count > 0")
     groups = drawn.groupBy("src", "group").agg(F.sum("count").alias("in_group"))
     groups = groups.withColumn("base", F.sum("in_group").over(Window.partitionBy("src").orderBy("group")) - F.col("in_group")).drop("in_group")
+    # A group's few rows become many slots: the number is given, so that they aren't put together into one task first.
+    drawn = drawn.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "group")
     drawn = drawn.withColumn("inside", F.sum("count").over(Window.partitionBy("src", "group").orderBy("shard")) - F.col("count")).join(groups, ["src", "group"])
     filled = drawn.select("src", F.expr(f"(source_size + {block_words - 1}) div {block_words}").alias("blocks"), F.explode(F.expr("sequence(base + inside, base + inside + count - 1)")).alias("slot"))
     filled = filled.where(F.col("slot") < most * F.col("blocks"))
     filled = filled.select("src", F.expr(permuted("slot % blocks", "blocks", f"{seed}, src, slot div blocks")).alias("block"))
     times = filled.groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
 
-    taken = pieces.join(times, ["src", "block"], "left").groupBy("src", "part", "nth", "doc_id", "size").agg(F.sum(F.coalesce(F.col("times") * F.col("overlap"), F.lit(0))).alias("taken"))
+    # Slots look small to the planner, since they come from a few rows: they must not be broadcast.
+    taken = pieces.join(times.hint("merge"), ["src", "block"], "left").groupBy("src", "part", "nth", "doc_id", "size").agg(F.sum(F.coalesce(F.col("times") * F.col("overlap"), F.lit(0))).alias("taken"))
     return taken.join(quota.select("src", "source", "source_size", "target"), "src").select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
