@@ -1,6 +1,320 @@
-"""The queries of the image-text dataflow over the driver's tables, with their SQL."""
+"""The queries of the image-text dataflow over the driver's tables, with SQL for each.
+
+The tables hold no pictures: sizes, boxes, scores and maps are made from their columns by fixed rules, over whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glyphflow.functions import display, geometry, reading
+from glyphflow.functions.f32 import div, f
+from glyphflow.operators import contours
+from glyphflow.plans.pipeline import OcrPipeline
+from glyphflow.schema import IMAGE
+from glyphflow.sources import standin
+from glyphflow.sources.images import struct_of
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: One key short of the eight classes, so that the last class is beyond the keys.
+KEYS = ["#", "a", "b", "c", "d", "e", "f"]
+SIZES = ("1 + (l_orderkey * 37) % 4000 AS w", "1 + (l_partkey * 53) % 3000 AS h")
+MAP = "transform(embedding, v -> CAST(v + CAST(0.5 AS FLOAT) AS FLOAT))"
+#: Four corners, with equal x often; in SQL of either engine.
+CORNERS = (("(l_orderkey * 7) % 50", "(l_partkey * 3) % 90"), ("60 + (l_orderkey * 11) % 50", "(l_suppkey * 5) % 90"), ("60 + (l_partkey * 13) % 50", "100 + (l_orderkey * 3) % 90"), ("(l_suppkey * 17) % 50", "100 + (l_partkey * 7) % 90"))
+
+
+def query(sql: str | None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def points(kind: str = "BIGINT") -> str:
+    return "array(" + ", ".join(f"named_struct('x', CAST({x} AS {kind}), 'y', CAST({y} AS {kind}))" for x, y in CORNERS) + ")"
+
+
+def corner_columns(name: str) -> list:
+    return [F.col(name)[i][a].cast("long").alias(f"{a}{i}") for i in range(4) for a in ("x", "y")]
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber, 1 + (l_orderkey * 37) % 4000 AS w, 1 + (l_partkey * 53) % 3000 AS h FROM lineitem),
+t AS (SELECT *, least(1024, greatest(w, h)) + 100 AS target FROM s),
+r AS (SELECT *, CASE WHEN w > h THEN (target::FLOAT / w::FLOAT)::FLOAT ELSE (target::FLOAT / h::FLOAT)::FLOAT END AS ratio FROM t),
+d AS (SELECT *, trunc((w::FLOAT * ratio)::FLOAT)::BIGINT AS dw, trunc((h::FLOAT * ratio)::FLOAT)::BIGINT AS dh FROM r),
+e AS (SELECT *, CASE WHEN dw % 32 = 0 THEN dw ELSE greatest(32, dw // 32 * 32) END AS dst_w, CASE WHEN dh % 32 = 0 THEN dh ELSE greatest(32, dh // 32 * 32) END AS dst_h FROM d)
+SELECT l_orderkey, l_linenumber, target::BIGINT AS target, dst_w::BIGINT AS dst_w, dst_h::BIGINT AS dst_h, (dst_w::FLOAT / w::FLOAT)::FLOAT AS scale_w, (dst_h::FLOAT / h::FLOAT)::FLOAT AS scale_h FROM e
+""")
+def scale_param(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", *SIZES).withColumn("target", F.expr(geometry.target_side("w", "h", 1024, 50)).cast("long"))
+    return d.withColumn("s", geometry.scale_param("w", "h", "target")).select("l_orderkey", "l_linenumber", "target", "s.dst_w", "s.dst_h", "s.scale_w", "s.scale_h")
+
+
+CTC_SQL = """
+WITH s AS (SELECT vec_id, t, embedding[t * 8 + 1 : t * 8 + 8] AS v FROM embeddings, range(8) r(t)),
+b AS (SELECT vec_id, t, list_max(v) AS m, list_position(v, list_max(v)) - 1 AS i FROM s),
+p AS (SELECT *, lag(i) OVER (PARTITION BY vec_id ORDER BY t) AS last FROM b),
+e AS (SELECT * FROM p WHERE i > 0 AND i < 7 AND (last IS NULL OR i <> last)),
+g AS (SELECT vec_id, string_agg(['#','a','b','c','d','e','f'][i + 1], '' ORDER BY t) AS text, list(m ORDER BY t) AS ms FROM e GROUP BY vec_id)
+SELECT v.vec_id, coalesce(text, '') AS text, CASE WHEN ms IS NULL THEN 0::FLOAT ELSE (list_reduce(list_prepend(0::FLOAT, ms), lambda a, x: (a + x)::FLOAT)::FLOAT / len(ms)::FLOAT)::FLOAT END AS text_score
+FROM (SELECT DISTINCT vec_id FROM embeddings) v LEFT JOIN g USING (vec_id)
+"""
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = "transform(sequence(0, 7), t -> slice(embedding, t * 8 + 1, 8))"
+    keys = "array(" + ", ".join(f"'{k}'" for k in KEYS) + ")"
+    d = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", F.expr(steps).alias("steps"), F.expr(keys).alias("keys"))
+    return d.withColumn("line", reading.decoded("steps", "keys"))
+
+
+@query(CTC_SQL)
+def ctc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("vec_id", "line.text", "line.text_score")
+
+
+@query("""
+WITH a AS (SELECT vec_id, label, CASE WHEN embedding[2] > embedding[1] THEN 1 ELSE 0 END AS i, CASE WHEN embedding[2] > embedding[1] THEN embedding[2] ELSE embedding[1] END AS score FROM embeddings)
+SELECT vec_id, label, i::INT AS own_index, CASE WHEN sum(i) OVER (PARTITION BY label) < count(*) OVER (PARTITION BY label) / 2 THEN 0 ELSE 1 END::INT AS index, score::FLOAT AS score FROM a
+""")
+def angle_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels stand for pictures. Sums over a label are combined before they are shuffled, and joined back."""
+    d = read(spark, sf_dir, "embeddings").select("vec_id", "label", reading.angle("embedding").alias("a"))
+    votes = d.groupBy("label").agg(F.sum("a.index").alias("ones"), F.count(F.lit(1)).alias("n")).select("label", F.expr("IF(ones < n / 2, 0, 1)").alias("index"))
+    return d.join(votes, "label").select("vec_id", "label", F.col("a.index").alias("own_index"), "index", F.col("a.score").alias("score"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, trunc(greatest(0, least(255, ((v + 0.5::FLOAT)::FLOAT * 255::FLOAT)::FLOAT)))::INT AS q, (k - 1)::INT AS k FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings)),
+m AS (SELECT vec_id, k // 8 AS y, k % 8 AS x, q, CASE WHEN q > 150 THEN 1 ELSE 0 END AS b FROM e)
+SELECT a.vec_id, a.y::INT AS y, a.x::INT AS x, a.q, max(c.b)::INT AS dilated FROM m a JOIN m c ON a.vec_id = c.vec_id AND c.y BETWEEN a.y - 1 AND a.y + 1 AND c.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY ALL
+""")
+def det_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each map stays one row until the end: neighbours are looked up in it, without a join."""
+    d = read(spark, sf_dir, "embeddings").select("vec_id", F.expr(f"transform({MAP}, p -> {geometry.quantised('p')})").alias("q"))
+    near = "aggregate(sequence(greatest(0, k div 8 - 1), least(7, k div 8 + 1)), 0, (a, r) -> greatest(a, aggregate(sequence(greatest(0, k % 8 - 1), least(7, k % 8 + 1)), 0, (b, c) -> greatest(b, IF(q[r * 8 + c] > 150, 1, 0)))))"
+    d = d.select("vec_id", F.explode(F.expr(f"transform(sequence(0, 63), k -> named_struct('y', CAST(k div 8 AS INT), 'x', k % 8, 'q', q[k], 'dilated', {near}))")).alias("p"))
+    return d.select("vec_id", "p.y", "p.x", "p.q", "p.dilated")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+m AS (SELECT vec_id, k // 8 AS y, k % 8 AS x, k FROM e WHERE trunc(greatest(0, least(255, ((v + 0.5::FLOAT)::FLOAT * 255::FLOAT)::FLOAT))) > 150),
+c AS (SELECT vec_id, y, x, k AS root FROM m UNION SELECT m.vec_id, m.y, m.x, c.root FROM c JOIN m ON m.vec_id = c.vec_id AND abs(m.y - c.y) <= 1 AND abs(m.x - c.x) <= 1 AND m.k > c.root),
+l AS (SELECT vec_id, y, x, min(root) AS root FROM c GROUP BY ALL)
+SELECT vec_id, root::BIGINT AS first_pixel, min(x)::BIGINT AS min_x, min(y)::BIGINT AS min_y, max(x)::BIGINT AS max_x, max(y)::BIGINT AS max_y FROM l GROUP BY vec_id, root
+""")
+def det_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outer borders of each map's parts, by where each begins."""
+
+    def trace(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for i, q in zip(part["vec_id"], part["q"], strict=True):
+                for outer, p in contours.borders((q > 150).reshape(8, 8)):
+                    if outer:
+                        xs, ys = [x for x, _ in p], [y for _, y in p]
+                        rows.append((i, p[0][1] * 8 + p[0][0], min(xs), min(ys), max(xs), max(ys)))
+            yield pd.DataFrame(rows, columns=["vec_id", "first_pixel", "min_x", "min_y", "max_x", "max_y"])
+
+    d = read(spark, sf_dir, "embeddings").select("vec_id", F.expr(f"transform({MAP}, p -> {geometry.quantised('p')})").alias("q"))
+    return d.mapInPandas(trace, "vec_id long, first_pixel long, min_x long, min_y long, max_x long, max_y long")
+
+
+@query("""
+SELECT vec_id, CASE WHEN embedding[2] > embedding[1] AND (isnan(embedding[3]) OR embedding[3] < 0.1::FLOAT) THEN embedding[4] ELSE embedding[3] END::FLOAT AS score,
+(embedding[2] > embedding[1] AND (isnan(embedding[3]) OR embedding[3] < 0.1::FLOAT)) AS again FROM embeddings
+""")
+def angle_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    again = reading.rolled_back("embedding[2]", 0.1, "a.index = 1")
+    d = read(spark, sf_dir, "embeddings").withColumn("a", reading.angle("embedding"))
+    return d.selectExpr("vec_id", f"IF({again}, embedding[3], embedding[2]) AS score", f"{again} AS again")
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber, 1 + (l_orderkey * 37) % 4000 AS w, 1 + (l_partkey * 53) % 3000 AS h FROM lineitem),
+r AS (SELECT *, greatest((320::FLOAT / 48::FLOAT)::FLOAT, max((w::FLOAT / greatest(h, 1)::FLOAT)::FLOAT) OVER (PARTITION BY l_orderkey)) AS ratio, ceil((w::FLOAT * (48::FLOAT / h::FLOAT)::FLOAT)::FLOAT)::BIGINT AS resized_w FROM s)
+SELECT l_orderkey, l_linenumber, ratio::FLOAT AS ratio, resized_w, greatest(trunc((48::FLOAT * ratio)::FLOAT)::BIGINT, resized_w) AS padded_w FROM r
+""")
+def rec_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for pictures, lines for crops."""
+    d = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", *SIZES)
+    widest = F.max(F.expr(geometry.width_ratio("w", "h"))).over(Window.partitionBy("l_orderkey"))
+    resized, wide = geometry.rec_widths("w", "h", "ratio")
+    d = d.withColumn("ratio", F.greatest(F.expr(f(geometry.LEAST_RATIO)), widest))
+    return d.selectExpr("l_orderkey", "l_linenumber", "ratio", f"{resized} AS resized_w", f"{wide} AS padded_w")
+
+
+@query(f"""
+WITH s AS (SELECT l_orderkey, l_linenumber, list_sort([{", ".join(f"{{'x': {x}, 'i': {i}, 'y': {y}}}" for i, (x, y) in enumerate(CORNERS))}]) AS s FROM lineitem),
+b AS (SELECT l_orderkey, l_linenumber, [CASE WHEN s[2].y > s[1].y THEN s[1] ELSE s[2] END, CASE WHEN s[4].y > s[3].y THEN s[3] ELSE s[4] END, CASE WHEN s[4].y > s[3].y THEN s[4] ELSE s[3] END, CASE WHEN s[2].y > s[1].y THEN s[2] ELSE s[1] END] AS b FROM s)
+SELECT l_orderkey, l_linenumber, {", ".join(f"b[{i + 1}].{a}::BIGINT AS {a}{i}" for i in range(4) for a in "xy")} FROM b
+""")
+def mini_box_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(points()).alias("p"))
+    return d.withColumn("b", geometry.box_order("p")).select("l_orderkey", "l_linenumber", *corner_columns("b"))
+
+
+RECT = "array(named_struct('x', 0, 'y', 0), named_struct('x', w, 'y', 0), named_struct('x', w, 'y', h), named_struct('x', 0, 'y', h))"
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber, 1 + (l_orderkey * 37) % 4000 AS w, 1 + (l_partkey * 53) % 3000 AS h FROM lineitem),
+a AS (SELECT *, abs(((0::FLOAT + (w::FLOAT * 0::FLOAT / 2::FLOAT)::FLOAT)::FLOAT + ((0 - w)::FLOAT * (2 * h)::FLOAT / 2::FLOAT)::FLOAT)::FLOAT) AS area, 2::DOUBLE * (w + h) AS perimeter FROM s)
+SELECT l_orderkey, l_linenumber, area::FLOAT AS area, perimeter::DOUBLE AS perimeter, CASE WHEN w < 1.001 AND h < 1.001 THEN NULL ELSE ((area * 1.6::FLOAT)::FLOAT / perimeter::FLOAT)::FLOAT END AS distance FROM a
+""")
+def unclip_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", *SIZES).withColumn("p", F.expr(RECT))
+    return d.select("l_orderkey", "l_linenumber", F.abs(geometry.signed_area("p")).alias("area"), geometry.perimeter("p").alias("perimeter"), geometry.offset_distance("p", 1.6).alias("distance"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+m AS (SELECT vec_id, k, (v + 0.5::FLOAT)::FLOAT AS p FROM e WHERE k % 8 BETWEEN label % 3 AND label % 3 + vec_id % 5 AND k // 8 BETWEEN vec_id % 4 AND vec_id % 4 + label % 4),
+g AS (SELECT vec_id, list(p ORDER BY k) AS ps FROM m GROUP BY vec_id)
+SELECT e.vec_id, CASE WHEN ps IS NULL THEN 0::FLOAT ELSE (list_reduce(list_prepend(0::FLOAT, ps), lambda a, x: (a + x)::FLOAT)::FLOAT / len(ps)::FLOAT)::FLOAT END AS score FROM embeddings e LEFT JOIN g USING (vec_id)
+""")
+def box_score_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = "transform(sequence(0, 63), k -> IF(k % 8 BETWEEN label % 3 AND label % 3 + vec_id % 5 AND k div 8 BETWEEN vec_id % 4 AND vec_id % 4 + label % 4, 1, 0))"
+    d = read(spark, sf_dir, "embeddings").select("vec_id", F.expr(MAP).alias("p"), F.expr(mask).alias("m"))
+    return d.select("vec_id", geometry.masked_mean("p", "m").alias("score"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber FROM (SELECT *, (l_orderkey % 9)::BIGINT AS n, (l_partkey % 70 / 10.0)::FLOAT AS edge, CASE WHEN l_suppkey % 11 = 0 THEN 'NaN'::FLOAT ELSE l_discount::FLOAT * 10 END AS score, (l_partkey % 90 / 10.0)::FLOAT AS grown FROM lineitem)
+WHERE n > 2 AND edge >= 3 AND (isnan(score) OR score >= 0.5::FLOAT) AND grown >= 5
+""")
+def box_filter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NaN scores stay, as they aren't below the threshold."""
+    d = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_orderkey % 9 AS n", "CAST(l_partkey % 70 / 10.0 AS FLOAT) AS edge", "IF(l_suppkey % 11 = 0, CAST('NaN' AS FLOAT), CAST(l_discount AS FLOAT) * CAST(10 AS FLOAT)) AS score", "CAST(l_partkey % 90 / 10.0 AS FLOAT) AS grown")
+    return d.where(f"n > 2 AND edge >= 3 AND (isnan(score) OR score >= {f('0.5')}) AND grown >= 5").select("l_orderkey", "l_linenumber")
+
+
+SCALED = "named_struct('scale_w', CAST(0.7 AS FLOAT), 'scale_h', CAST(1.3 AS FLOAT), 'src_w', 100L, 'src_h', 60L)"
+SHIFTED = tuple((f"({x}) - 20", f"({y}) - 20") for x, y in CORNERS)
+
+
+@query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"least(trunc(greatest(0, (({c})::FLOAT / {s}::FLOAT)::FLOAT))::BIGINT, {m}) AS {a}{i}" for i, p in enumerate(SHIFTED) for c, a, s, m in zip(p, "xy", ("0.7", "1.3"), (100, 60), strict=True)) + " FROM lineitem")
+def rescale_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = "array(" + ", ".join(f"named_struct('x', {x}, 'y', {y})" for x, y in SHIFTED) + ")"
+    d = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(p).alias("p"), F.expr(SCALED).alias("s"))
+    return d.withColumn("b", geometry.rescaled("p", "s")).select("l_orderkey", "l_linenumber", *corner_columns("b"))
+
+
+@query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"trunc(greatest(0, (({c})::FLOAT - 50::FLOAT)::FLOAT))::BIGINT AS {a}{i}" for i, p in enumerate(CORNERS) for c, a in zip(p, "xy", strict=True)) + " FROM lineitem")
+def unpad_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(points()).alias("p"))
+    return d.withColumn("b", geometry.unpadded("p", 50)).select("l_orderkey", "l_linenumber", *corner_columns("b"))
+
+
+def _length(i: int, j: int) -> str:
+    (x0, y0), (x1, y1) = CORNERS[i], CORNERS[j]
+    return f"sqrt((pow(({x0}) - ({x1}), 2)::FLOAT + pow(({y0}) - ({y1}), 2)::FLOAT)::FLOAT)::FLOAT"
+
+
+XS, YS = (", ".join(p[k] for p in CORNERS) for k in (0, 1))
+
+
+@query(f"""
+SELECT *, h >= w * 3 // 2 AS turned FROM (SELECT l_orderkey, l_linenumber, least({XS})::BIGINT AS min_x, least({YS})::BIGINT AS min_y, (greatest({XS}) - least({XS}))::BIGINT AS box_w, (greatest({YS}) - least({YS}))::BIGINT AS box_h,
+trunc({_length(0, 1)})::BIGINT AS w, trunc({_length(0, 3)})::BIGINT AS h FROM lineitem)
+""")
+def crop_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(points()).alias("p"))
+    return d.withColumn("c", geometry.crop_plan("p")).select("l_orderkey", "l_linenumber", "c.*")
+
+
+CHANNELS = ((0.485 * 255, 1 / 0.229 / 255), (0.456 * 255, 1 / 0.224 / 255), (0.406 * 255, 1 / 0.225 / 255))
+
+
+@query(" UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, {c} AS channel, (((l_partkey % 256)::FLOAT * {n!r}::FLOAT)::FLOAT - ({m!r}::FLOAT * {n!r}::FLOAT)::FLOAT)::FLOAT AS v FROM lineitem" for c, (m, n) in enumerate(CHANNELS)))
+def normalize_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "array(l_partkey % 256) AS a")
+    three = F.array(*(F.struct(F.lit(c).alias("channel"), geometry.normalised("a", m, n)[0].alias("v")) for c, (m, n) in enumerate(CHANNELS)))
+    return d.select("l_orderkey", "l_linenumber", F.explode(three).alias("t")).select("l_orderkey", "l_linenumber", "t.channel", "t.v")
+
+
+@query("""
+WITH k AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), n AS (SELECT doc_id, list_concat(['#'], s, [' ']) AS a, list_concat(['#'], list_filter(s, lambda x: x <> ''), [' ']) AS b FROM k)
+SELECT doc_id, len(a)::INT AS metadata_keys, len(b)::INT AS file_keys, a[2] AS first_key, b[len(b) - 1] AS last_key FROM n
+""")
+def dict_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("doc_id", reading.keys_of_metadata(F.col("text")).alias("a"), reading.keys_of_file(F.col("text")).alias("b"))
+    return d.selectExpr("doc_id", "size(a) AS metadata_keys", "size(b) AS file_keys", "a[1] AS first_key", "b[size(b) - 2] AS last_key")
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """label, vec_id and a block made from a vector: a box, an angle and a decoded line. Scores are eighths, exact in any notation."""
+    d = lines(spark, sf_dir).withColumn("a", reading.angle("embedding"))
+    eighth = lambda x: f"CAST(floor({x} * 8) / 8 AS FLOAT)"
+    block = f"named_struct('box_points', array(named_struct('x', vec_id, 'y', CAST(label AS BIGINT))), 'box_score', {eighth('embedding[5]')}, 'angle_index', a.index, 'angle_score', {eighth('a.score')}, 'text', line.text, 'text_score', {eighth('line.text_score')})"
+    return d.select("vec_id", "label", F.expr(f"array({block})").alias("text_blocks"))
+
+
+RESULT_SQL = f"""
+l AS ({CTC_SQL}), b AS (SELECT vec_id, label, (floor(embedding[6] * 8) / 8)::FLOAT AS box_score, CASE WHEN embedding[2] > embedding[1] THEN 1 ELSE 0 END AS angle_index, (floor(greatest(embedding[1], embedding[2]) * 8) / 8)::FLOAT AS angle_score, text, (floor(text_score * 8) / 8)::FLOAT AS text_score FROM embeddings JOIN l USING (vec_id))
+"""
+
+
+@query(f"WITH {RESULT_SQL} SELECT vec_id, 0::INT AS block_index, vec_id AS x, label::BIGINT AS y, box_score, angle_index::INT AS angle_index, angle_score, text, text_score FROM b")
+def result_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphflow.plans.pipeline import text_blocks
+
+    d = text_blocks(results(spark, sf_dir))
+    return d.selectExpr("vec_id", "block_index", "box_points[0].x AS x", "box_points[0].y AS y", "box_score", "angle_index", "angle_score", "text", "text_score")
+
+
+@query(f"WITH {RESULT_SQL} SELECT vec_id, 1::INT AS n_blocks, vec_id AS x, angle_index::INT AS angle_index, text, text_score FROM b")
+def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as JSON and read again."""
+    d = results(spark, sf_dir).withColumn("json", display.result_json("text_blocks")).withColumn("back", display.from_result_json("json"))
+    return d.selectExpr("vec_id", "size(back) AS n_blocks", "back[0].box_points[0].x AS x", "back[0].angle_index AS angle_index", "back[0].text AS text", "back[0].text_score AS text_score")
+
+
+def _shown(x: str) -> str:
+    return f"regexp_replace({x}::VARCHAR, '\\.0$', '')"
+
+
+@query(f"""WITH {RESULT_SQL} SELECT vec_id, 'TextBlock[BoxPointsLen(1), BoxScore(' || {_shown('box_score')} || '), AngleIndex(' || angle_index || '), AngleScore(' || {_shown('angle_score')} || '), Text(' || text || '), TextScore(' || {_shown('text_score')} || ')]' AS shown FROM b""")
+def result_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(spark, sf_dir).select("vec_id", display.result_text("text_blocks").alias("shown"))
+
+
+EXPECTED = "upper(substr(regexp_replace(text, '[^A-Za-z0-9]', ''{flag}), 1, 12))"
+
+
+def rendered(spark: SparkSession, sf_dir: str, turned: bool = False) -> DataFrame:
+    """doc_id, image, expected: each document's first twelve letters and digits as a picture."""
+
+    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for at in range(0, len(part), 64):
+                some = part.iloc[at : at + 64]
+                yield some.assign(image=[struct_of(standin.drawn([x], turned)) for x in some["expected"]])
+
+    d = read(spark, sf_dir, "documents").selectExpr("doc_id", EXPECTED.format(flag="") + " AS expected").where("expected <> ''")
+    return d.mapInPandas(draw, f"doc_id long, expected string, image {IMAGE}")
+
+
+@query(f"SELECT doc_id, {EXPECTED.format(flag=chr(44) + chr(39) + 'g' + chr(39))} AS text, 1::INT AS n_blocks FROM documents WHERE {EXPECTED.format(flag=chr(44) + chr(39) + 'g' + chr(39))} <> ''")
+def ocr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of texts through the whole pipeline with the stand-in networks."""
+    out = OcrPipeline(standin.StandInModels()).detect(rendered(spark, sf_dir))
+    return out.selectExpr("doc_id", "array_join(transform(text_blocks, b -> b.text), ' ') AS text", "size(text_blocks) AS n_blocks")
+
+
+__all__ = ["QUERIES", "SQL", "div"]
