@@ -29,8 +29,8 @@ def angle(scores: str) -> Column:
 
 def most_angle(angles: str) -> Column:
     """The angles of one picture with the index of the majority, 1 for a tie, and their own scores."""
-    vote = f"IF(CAST(aggregate({angles}, 0, (a, x) -> a + x.index) AS FLOAT) < CAST(size({angles}) AS FLOAT) / 2, 0, 1)"
-    return F.expr(f"transform({angles}, x -> named_struct('index', {vote}, 'score', x.score))")
+    vote = f"IF(CAST(aggregate({angles}, 0, (_n, _a) -> _n + _a.index) AS FLOAT) < CAST(size({angles}) AS FLOAT) / 2, 0, 1)"
+    return F.expr(f"transform({angles}, _b -> named_struct('index', {vote}, 'score', _b.score))")
 
 
 def rolled_back(score: str, threshold: float, turned: str) -> str:
@@ -44,7 +44,7 @@ def decoded(steps: str, keys: str) -> Column:
     A step's class is its first largest score, NaN never; class 0 if there is none. It adds its key unless it is 0, beyond
     the keys or the class of the step before, which counts even if it added nothing. The score is the mean of those added.
     """
-    best = f"transform({steps}, s -> aggregate(s, named_struct('i', 0, 'at', 0, 'm', {LOWEST}), (a, x) -> named_struct('i', a.i + 1, 'at', IF(NOT isnan(x) AND x > a.m, a.i, a.at), 'm', IF(NOT isnan(x) AND x > a.m, x, a.m))))"
-    added = f"filter(transform(b, (x, i) -> named_struct('at', x.at, 'm', x.m, 'last', IF(i = 0, -1, b[greatest(i - 1, 0)].at))), x -> x.at > 0 AND x.at < size({keys}) AND x.at <> x.last)"
-    mean = "IF(size(e) = 0, CAST(0 AS FLOAT), CAST(aggregate(e, CAST(0 AS FLOAT), (a, x) -> CAST(a + x.m AS FLOAT)) / CAST(size(e) AS FLOAT) AS FLOAT))"
-    return F.expr(f"transform(transform(array({best}), b -> {added}), e -> named_struct('text', array_join(transform(e, x -> {keys}[x.at]), ''), 'text_score', {mean}))[0]")
+    best = f"transform({steps}, _s -> aggregate(_s, named_struct('i', 0, 'at', 0, 'm', {LOWEST}), (_a, _x) -> named_struct('i', _a.i + 1, 'at', IF(NOT isnan(_x) AND _x > _a.m, _a.i, _a.at), 'm', IF(NOT isnan(_x) AND _x > _a.m, _x, _a.m))))"
+    added = f"filter(transform(_b, (_x, _i) -> named_struct('at', _x.at, 'm', _x.m, 'last', IF(_i = 0, -1, _b[greatest(_i - 1, 0)].at))), _x -> _x.at > 0 AND _x.at < size({keys}) AND _x.at <> _x.last)"
+    mean = "IF(size(_e) = 0, CAST(0 AS FLOAT), CAST(aggregate(_e, CAST(0 AS FLOAT), (_a, _x) -> CAST(_a + _x.m AS FLOAT)) / CAST(size(_e) AS FLOAT) AS FLOAT))"
+    return F.expr(f"transform(transform(array({best}), _b -> {added}), _e -> named_struct('text', array_join(transform(_e, _x -> {keys}[_x.at]), ''), 'text_score', {mean}))[0]")
