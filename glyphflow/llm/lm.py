@@ -22,11 +22,11 @@ UNI, BI, MASS = 0, 1, 2
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 C1, C2, HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFF00000000)
 #: Base of the quantisation, bits an item, probes a level. Expected count of a level: the middle of its range by ratio.
-BASE, BITS, PROBES, LEVELS = 1.5, 12, 6, 64
+BASE, BITS, PROBES, LEVELS = 2.0, 12, 6, 64
 #: Words of which the exact counts are broadcast; the counts of others are joined.
 HEAD = 1 << 17
 #: Entries that a worker gathers before it hands them on.
-GATHERED = 3_000_000
+GATHERED = 4_000_000
 CUTS = [2**j for j in range(31)]
 
 
@@ -39,7 +39,12 @@ def expected(levels: np.ndarray) -> np.ndarray:
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix64(keys ^ C2) % np.uint64(buckets)).astype(np.int64)
+    return part_of(mix64(keys ^ C2), buckets).astype(np.int64)
+
+
+def part_of(h: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+    """The high half of a hash mapped to 0 to size-1, without a division."""
+    return ((h >> np.uint64(32)) * np.asarray(size, np.uint64)) >> np.uint64(32)
 
 
 def bigrams(history: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -104,10 +109,10 @@ def gathered(docs: DataFrame, buckets: int, text_col: str) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, text_col):
                 word, before, _ = tokens(batch.column(text_col).to_pylist(), hashes)
-                for kind, keys in ((UNI, word), (BI, bigrams(before, word))):
-                    keys, counts = np.unique(keys, return_counts=True)
-                    held[kind].append((keys, counts.astype(np.uint64)))
-                    n += len(keys)
+                which, distinct = pd.factorize(word)
+                held[UNI].append((distinct, np.bincount(which, minlength=len(distinct)).astype(np.uint64)))
+                held[BI].append((bigrams(before, word), np.ones(len(word), np.uint64)))
+                n += len(word)
                 if n > GATHERED:
                     yield from out()
                     n = 0
@@ -142,9 +147,9 @@ class Filter:
         self.bits = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
     @staticmethod
-    def places(keys: np.ndarray, level: np.ndarray, size: np.ndarray, probe: int) -> np.ndarray:
-        a = mix64(keys + level.astype(np.uint64) * C1)
-        return ((a + np.uint64(probe) * (mix64(a ^ C2) | np.uint64(1))) % size.astype(np.uint64)).astype(np.int64)
+    def hashed(keys: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a = mix64(keys + np.asarray(level, np.uint64) * C1)
+        return a, (a * C2) | np.uint64(1)
 
     @staticmethod
     def region(keys: np.ndarray, levels: np.ndarray) -> bytes:
@@ -152,9 +157,10 @@ class Filter:
         keys = np.repeat(keys, levels)
         nth = np.arange(len(keys)) - np.repeat(np.cumsum(levels) - levels, levels) + 1
         bits = np.zeros(max(8, -(-len(keys) * BITS // 8) * 8), bool)
-        size = np.full(len(keys), len(bits))
-        for probe in range(PROBES):
-            bits[Filter.places(keys, nth, size, probe)] = True
+        a, step = Filter.hashed(keys, nth)
+        for _ in range(PROBES):
+            bits[part_of(a, len(bits)).astype(np.int64)] = True
+            a = a + step
         return np.packbits(bits, bitorder="little").tobytes()
 
     def levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
@@ -163,17 +169,19 @@ class Filter:
         start, size = self.start[kind, bucket], self.size[kind, bucket]
         live = np.flatnonzero(size > 0)
         for level in range(1, LEVELS + 1):
-            for probe in range(PROBES):
-                at = start[live] + self.places(keys[live], np.full(len(live), level), size[live], probe)
-                live = live[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            a, step = self.hashed(keys[live], level)
+            for _ in range(PROBES):
+                at = start[live] + part_of(a, size[live]).astype(np.int64)
+                on = np.flatnonzero((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                live, a, step = live[on], a[on], step[on]
                 if not len(live):
                     return out
+                a = a + step
             out[live] = level
         return out
 
     def counts(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        distinct, where = np.unique(keys, return_inverse=True)
-        return expected(self.levels(kind, distinct))[where]
+        return expected(self.levels(kind, keys))
 
 
 def built(counts: DataFrame, buckets: int, most_bytes: int) -> Filter:
@@ -232,17 +240,24 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
 
     mass = counts.where(f"kind = {MASS}").groupBy("kind", "bucket").applyInPandas(merge, "kind int, bucket int, data binary")
     bloom = built(counts.where(f"kind <> {MASS}").unionByName(written(mass, "lm-mass")), buckets, most_bytes)
-    head = known.orderBy(F.desc("c"), "h").limit(HEAD).toPandas().sort_values("h")
+    # The most frequent words by classes of counts, as many classes as HEAD words hold.
+    level = F.floor(F.log2("c") * 4)
+    room, least = HEAD, None
+    for r in sorted(known.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if (room := room - r["count"]) < 0:
+            break
+        least = r["level"]
+    head = known.where(level >= least if least is not None else F.lit(False)).toPandas().sort_values("h")
     shared = spark.sparkContext.broadcast((bloom, head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64)))
     whole = n + v + 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (bloom, names, often) = WordHashes(), shared.value
         for big in batches:
-            for batch in slices(big, "text", 1_000_000):
+            for batch in slices(big, "text"):
                 word, before, sizes = tokens(batch.column("text").to_pylist(), hashes)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                distinct, which = np.unique(word.view(np.int64), return_inverse=True)
+                which, distinct = pd.factorize(word.view(np.int64))
                 at = np.minimum(np.searchsorted(names, distinct), max(0, len(names) - 1))
                 hit = names[at] == distinct if len(names) else np.zeros(len(distinct), bool)
                 log = np.where(hit, np.log10((np.where(hit, often[at] if len(names) else 0, 0) + 1) / whole), 0.0)
@@ -251,10 +266,12 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
                 tail_doc, tail = pairs // len(distinct), distinct[pairs % len(distinct)]
                 ends = np.searchsorted(tail_doc, np.arange(len(sizes) + 1)).astype(np.int32)
 
-                c_word = expected(bloom.levels(UNI, distinct.view(np.uint64)))[which]
-                c_before = np.where(before == START, float(texts), bloom.counts(UNI, before))
-                covered = np.minimum(bloom.counts(MASS, before & HIGH), c_before)
-                both = np.minimum(bloom.counts(BI, bigrams(before, word)), np.maximum(covered, 0))
+                first = before == START  # else the word before is the one that stands before
+                c_distinct, m_distinct = (bloom.counts(kind, keys) for kind, keys in ((UNI, distinct.view(np.uint64)), (MASS, distinct.view(np.uint64) & HIGH)))
+                c_word, c_before, covered = c_distinct[which], np.roll(c_distinct[which], 1), np.roll(m_distinct[which], 1)
+                c_before[first], covered[first] = texts, bloom.counts(MASS, np.array([START & HIGH]))[0]
+                covered = np.minimum(covered, c_before)
+                both = np.minimum(bloom.counts(BI, bigrams(before, word)), covered)
                 p = np.minimum(1.0, (both + (c_before - covered + 1) * (c_word + 1) / whole) / (c_before + 1))
                 add = lambda x: np.bincount(doc, x, len(sizes))
                 lists = lambda x, t: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, t))
