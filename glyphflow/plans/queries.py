@@ -307,6 +307,7 @@ def rendered(spark: SparkSession, sf_dir: str, turned: bool = False) -> DataFram
                 yield some.assign(image=[struct_of(standin.drawn([x], turned)) for x in some["expected"]])
 
     d = read(spark, sf_dir, "documents").selectExpr("doc_id", EXPECTED.format(flag="") + " AS expected").where("expected <> ''")
+    d = d.repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")  # a few bytes become a picture: share them out before
     return d.mapInPandas(draw, f"doc_id long, expected string, image {IMAGE}")
 
 
