@@ -167,18 +167,32 @@ class Join:
         both = pairs.join(s.alias("x"), F.col("a") == F.col("x.vid")).join(s.alias("y"), F.col("b") == F.col("y.vid"))
         return both.where(self.close("x", "y")).select("a", "b", F.expr(self.apart("x", "y")).alias("apart"))
 
-    def crossing(self, roots: DataFrame | None) -> DataFrame:
-        """All pairs that meet on an n-gram of their prefixes, in different components, through all filters."""
+    def mixed(self, roots: DataFrame | None) -> DataFrame:
+        """The postings, with their sets' sizes and parities, of n-grams that join different components c."""
         posted = self.shared.select("token", "vid", "pos")
         if roots is not None:
             posted = posted.join(roots, posted["vid"] == roots["v"], "left").withColumn("c", F.coalesce("root", "vid")).select("token", "vid", "pos", "c")
-            mixed = posted.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
-            posted = posted.join(mixed, "token", "left_semi")
+            tokens = posted.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
+            posted = posted.join(tokens, "token", "left_semi")
         else:
             posted = posted.withColumn("c", F.col("vid"))
-        posted = written(posted.join(self.sets.select("vid", "n", *PARITY), "vid"), "join-crossing")
-        x, y = posted.alias("x"), posted.alias("y")
-        pairs = x.join(y, F.expr(f"x.token = y.token AND x.vid < y.vid AND x.c <> y.c AND {self.may_link('x.n', 'y.n')} AND {self.placed('x.n', 'x.pos', 'y.n', 'y.pos')} AND {self.close('x', 'y')}"))
+        return written(posted.join(self.sets.select("vid", "n", *PARITY), "vid"), "join-mixed")
+
+    def may(self, x: str, y: str) -> str:
+        """SQL: all filters of a pair of postings of one n-gram."""
+        return f"{x}.vid <> {y}.vid AND {x}.c <> {y}.c AND {self.may_link(f'{x}.n', f'{y}.n')} AND {self.placed(f'{x}.n', f'{x}.pos', f'{y}.n', f'{y}.pos')} AND {self.close(x, y)}"
+
+    def around(self, posted: DataFrame, most: int = 16) -> DataFrame:
+        """Of those pairs the ones with at most so many postings between them: as many rows as postings, however large a group."""
+        by = Window.partitionBy("token").orderBy("n", "vid")
+        x = F.struct("vid", "n", "pos", "c", *PARITY)
+        rows = posted.select(x.alias("x"), F.array(*(F.lag(x, i).over(by) for i in range(1, most + 1))).alias("before"))
+        rows = rows.select("x.vid", F.explode(F.expr(f"transform(filter(before, y -> y IS NOT NULL AND {self.may('x', 'y')}), y -> y.vid)")).alias("other"))
+        return rows.select(F.least("vid", "other").alias("a"), F.greatest("vid", "other").alias("b")).distinct()
+
+    def crossing(self, posted: DataFrame) -> DataFrame:
+        """All pairs of those postings, in different components, through all filters."""
+        pairs = posted.alias("x").join(posted.alias("y"), F.expr(f"x.token = y.token AND x.vid < y.vid AND {self.may('x', 'y')}"))
         return pairs.select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -210,10 +224,14 @@ class Join:
         links = written(self.verified(first), "join-links")
         roots = components(links)
         rest = self.apart_in(near.select("a", "b").join(first, ["a", "b"], "left_anti"), roots)
+        tried = near.select("a", "b")
         links = written(links.unionByName(self.verified(rest)), "join-links")
+        more = written(self.around(self.mixed(components(links))).join(tried, ["a", "b"], "left_anti"), "join-near")
+        tried = tried.unionByName(more)
+        links = written(links.unionByName(self.verified(more)), "join-links")
         roots = components(links)
-        more = written(self.verified(self.crossing(roots).join(near.select("a", "b"), ["a", "b"], "left_anti")), "join-links")
-        return components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
+        last = self.verified(self.crossing(self.mixed(roots)).join(tried, ["a", "b"], "left_anti"))
+        return components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(last))
 
     def apart_in(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs of which the ends are in different components."""
