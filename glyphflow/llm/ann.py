@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import lean, table, written
 
 
 class Tree:
@@ -89,7 +89,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.
     are null, zero or have null or non-finite components, and null ids, take no part; vectors of another length than the
     query's aren't its candidates. Repeated rows are candidates each; a repeated query is searched once.
     """
-    spark = vectors.sparkSession
+    lean(vectors.sparkSession)
     rows = vectors.where(F.expr(usable(f"`{vector_col}`"))).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("dim"))
     shards = max(1, -(-rows.count() // shard_rows))
 

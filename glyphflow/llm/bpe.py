@@ -17,11 +17,11 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import lean, slices, table, tidy
 
 NO_RANK = np.int32(2**31 - 1)
 #: Cells of a matrix at most, and pieces whose encoding a worker keeps.
-CELLS, KEPT = 1 << 20, 400_000
+CELLS, KEPT = 1 << 18, 100_000
 
 
 class PairTable:
@@ -167,12 +167,14 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
     The vocabulary file lies on every machine at `path`. Null text counts as empty: no ids. Rows are kept one for one, and
     text of any length is encoded whole, a run of its pieces at a time. Columns of the added names are replaced.
     """
+    lean(docs.sparkSession)
     path, pattern = path or vocabulary()[0], pattern or vocabulary()[1]
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>"
     names = added.split()[::2]
     kept = [c for c in docs.columns if c != text_col and c not in names]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*kept).schema) + added
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bpe(path, pattern)
         for whole in batches:
@@ -187,6 +189,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
                     rows.append((n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join(x[1] for x in found)).hexdigest()) if digests else (n, np.array(ids.split(), np.int32)))
                 types = [pa.int64(), pa.string(), pa.string()] if digests else [pa.int64(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [*kept, *names])
+        b.known = {}
 
     return docs.select(*kept, text_col).mapInArrow(run, schema)
 

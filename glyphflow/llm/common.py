@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a worker gets at once: rows and bytes at most. Texts differ in length by orders of magnitude.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def lean(spark: SparkSession) -> None:
+    """Batches for workers of few rows and bytes, for the rest of the session: memory by task then has a bound."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
+
+
 def lower_ascii(col: Column) -> Column:
     """A-Z lower-cased, every other character kept."""
     return F.translate(col, UPPER, UPPER.lower())
@@ -63,7 +76,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with at most so many bytes in the column, or of one row."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(size.astype(np.int64))
@@ -74,6 +87,24 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000) -> I
         at = until
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives its memory back at a task's end: workers live on and would each keep their peak."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of a 64-bit hash, over an array of uint64."""
     x = x ^ (x >> np.uint64(33))
@@ -86,7 +117,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept while they are few enough for a worker's memory."""
 
-    MOST = 500_000
+    MOST = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, crc_mod, mix64, slices, table, written
+from .common import WordHashes, crc_mod, lean, mix64, slices, table, tidy, written
 
 UNI, BI, MASS = 0, 1, 2
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -90,6 +90,7 @@ def tokens(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.
 def gathered(docs: DataFrame, buckets: int, text_col: str) -> DataFrame:
     """(kind, bucket, data): sums over the whole input, a row a bucket; of bigrams those seen twice, and their histories' mass."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = WordHashes(), {UNI: [], BI: []}
 
@@ -220,6 +221,7 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
     by 64-bit hashes.
     """
     spark = docs.sparkSession
+    lean(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     buckets = max(8, 2 * rows.rdd.getNumPartitions())
     counts = gathered(rows.where("NOT held_out"), buckets, "text")
@@ -251,6 +253,7 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
     shared = spark.sparkContext.broadcast((bloom, head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64)))
     whole = n + v + 1
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (bloom, names, often) = WordHashes(), shared.value
         for big in batches:

@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, table
+from .common import crc_mod, lean, slices, table, tidy
 
 #: Labelled rows that the model is fitted on at most: toxic and clean, those of least hash. Documented bounds.
 MOST_TOXIC, MOST_CLEAN, MOST_TERMS = 2_000, 6_000, 1_000
 SHORTEST, LONGEST, FUZZY_FROM, LEAST = 3, 20, 5, 4
 WINDOW = 6
-KEPT = 400_000
+KEPT = 100_000
 WORD = re.compile(r"\w+")
 LEET = str.maketrans("013457", "oieast")
 REPORTING = frozenset("said says saying called calls wrote writes quote quoted quotes word words term dit mot dijo palabra sagte wort".split())
@@ -212,9 +212,16 @@ class Model:
 
 def fitted(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model of at most MOST_TOXIC and MOST_CLEAN labelled rows that held_out (a column of the labels) leaves in."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col("toxic"), F.coalesce(held_out, F.lit(True)).alias("_out")).where("NOT _out AND toxic IS NOT NULL AND _id IS NOT NULL").select("_id", "toxic").dropDuplicates(["_id"])
+    known = labels.select(F.col(id_col).alias("_id"), F.col("toxic"), F.coalesce(held_out, F.lit(True)).alias("_out")).where("NOT _out AND toxic IS NOT NULL AND _id IS NOT NULL")
+    known = known.groupBy("_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    first = lambda label, most: known.where(F.col("toxic") == label).orderBy(F.xxhash64("_id"), "_id").limit(most)
+
+    def first(label: int, most: int) -> DataFrame:
+        """The rows of least hash; all but about one and a half times as many are left out before they are sorted."""
+        below = int(min(1.0, 1.5 * most / max(1, totals.get(label, 0))) * (1 << 30))
+        mine = known.where(F.col("toxic") == label).withColumn("_hash", F.pmod(F.xxhash64("_id"), F.lit(1 << 30))).where(F.col("_hash") <= below)
+        return mine.orderBy("_hash", "_id").limit(most).select("_id", "toxic")
+
     sample = F.broadcast(first(1, MOST_TOXIC).unionByName(first(0, MOST_CLEAN)))  # so many rows of two numbers at most
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(sample, "_id").select("_text", "toxic")
     share = totals.get(1, 0) / max(1, sum(totals.values()))
@@ -227,14 +234,17 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     Null and empty texts have the score of a text without finds. Rows are kept one for one, and texts read whole. A column
     of the score's name is replaced.
     """
+    lean(docs.sparkSession)
     kept = [c for c in docs.columns if c != score_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_TERMS bound it
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
             for batch in slices(whole, text_col):
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(model.score(batch.column(text_col).to_pylist()))], [*kept, score_col])
+        model.lexicon.known.clear()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + f", `{score_col}` double"
     return docs.select(*kept).mapInArrow(run, schema)
