@@ -19,12 +19,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, slices, table, written
+from .common import WordHashes, lean, mix64, slices, table, tidy, written
 from .components import components
 
 #: Cells of the table of counts, the same for any input; they are summed in blocks, so many tables at a time.
 CELL_BITS, BLOCK_BITS, FAN = 22, 16, 64
-PARITY = ("p0", "p1", "p2", "p3")
+#: Parities of 256 bits for the first look at postings, of 1,024 for those that pass it.
+PARITY = tuple(f"p{i}" for i in range(4))
+FINE = tuple(f"q{i}" for i in range(16))
+#: Postings before each one that are tried before all pairs of what is then still apart.
+NEAR = 16
+#: Rows of a part of a posting list, in which neighbours are looked for; pairs across parts come with all other pairs.
+LIST = 4096
 K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,6 +57,7 @@ def cells(h: np.ndarray) -> np.ndarray:
 def counted(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
     """How many documents hold an n-gram of each cell, over all documents."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sums = WordHashes(), np.zeros(1 << CELL_BITS, np.uint32)
         for whole in batches:
@@ -77,10 +84,11 @@ def counted(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
 
 
 def described(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, s1, s2, p0 to p3, prefix): s1 and s2 tell sets apart, p0 to p3 are the parities of 256 bits."""
+    """(doc_id, n, s1, s2, parities, prefix): s1 and s2 tell sets apart; the parities are of how many n-grams fall on each bit."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(counts)  # CELL_BITS bound it
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), shared.value
         for whole in batches:
@@ -89,9 +97,8 @@ def described(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int, i
                 for text in batch.column(text_col).to_pylist():
                     h = shingles(words_of(text), n, hashes)
                     size = len(h)
-                    bits = np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1
                     prefix = h[np.lexsort((h, counts[cells(h)]))[: size - -(-num * size // den) + 1]] if size else h
-                    rows.append((size, *sign(h), *np.packbits(bits.astype(np.uint8)).view(np.int64), prefix.view(np.int64)))
+                    rows.append((size, *sign(h), *parities(h, 0, PARITY), prefix.view(np.int64)))
                 cols = list(zip(*rows, strict=True))
                 arrays = [pa.array(cols[0], pa.int32())] + [pa.array(np.array(c, np.int64)) for c in cols[1:-1]] + [pa.array(list(cols[-1]), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n", "s1", "s2", *PARITY, "prefix"])
@@ -100,6 +107,13 @@ def described(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int, i
     return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(run, f"doc_id {kind}, n int, s1 long, s2 long, {', '.join(f'{p} long' for p in PARITY)}, prefix array<long>")
 
 
+def parities(h: np.ndarray, shift: int, names: tuple[str, ...]) -> np.ndarray:
+    """64 bits a name: whether an odd number of hashes fall on each. Sets differ by at least the bits that do."""
+    n = 64 * len(names)
+    odd = np.bincount((h >> np.uint64(shift) & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sign(h: np.ndarray) -> tuple[np.int64, np.int64]:
     return np.uint64(h.sum(dtype=np.uint64)).view(np.int64), np.uint64(mix64(h ^ K).sum(dtype=np.uint64)).view(np.int64)
 
@@ -109,37 +123,48 @@ class Join:
 
     def __init__(self, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str):
         self.docs, self.n, self.num, self.den, self.id_col, self.text_col = docs, n, num, den, id_col, text_col
+        lean(docs.sparkSession)
         counts = counted(docs, n, text_col)
         self.rows = written(described(docs, counts, n, num, den, id_col, text_col), "join-rows")
         one = self.rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", *PARITY, "prefix")))
         self.sets = written(one.withColumn("vid", F.monotonically_increasing_id()), "join-sets")
-        by = Window.partitionBy("token").orderBy("n", "vid")
         posted = self.sets.select("vid", "n", F.posexplode("prefix").alias("pos", "token"))
-        near = {f"prev_{c}": F.lag(c).over(by) for c in ("vid", "n", "pos")}
-        posted = posted.withColumns({**near, "next": F.lead("vid").over(by)})
-        self.shared = written(posted.where("prev_vid IS NOT NULL OR next IS NOT NULL").drop("next"), "join-shared")
-        wanted = self.sets.join(self.shared.select("vid").distinct(), "vid", "left_semi").select("vid", "rep", "s1", "s2")
+        # Counted before they meet: a long list is only ever dealt out, in joins that Spark can split and in salted parts.
+        lists = written(posted.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "join-lists")
+        part = F.expr(f"pmod(xxhash64(vid), (rows + {LIST - 1}) div {LIST})")
+        posted = posted.join(lists.hint("merge"), "token").select("token", part.alias("part"), "vid", "n", "pos", F.col("vid").alias("c"))
+        posted = written(posted.join(self.sets.select("vid", *PARITY), "vid"), "join-posted")
+        # Only postings that some other one of their n-gram passes all filters with; the coarse parities first, then the fine.
+        posted = self.matched(posted, PARITY)
+        wanted = self.sets.join(posted.select("vid").distinct(), "vid", "left_semi").select("vid", "rep", "s1", "s2")
         self.texts = written(self.packed(wanted), "join-texts")
+        fine = written(posted.drop(*PARITY).join(self.texts.select("vid", *FINE), "vid"), "join-posted")
+        self.shared = self.matched(fine, FINE)
+
+    def matched(self, posted: DataFrame, parity: tuple[str, ...]) -> DataFrame:
+        return written(posted.alias("x").join(posted.alias("y"), F.expr(f"x.token = y.token AND {self.may('x', 'y', parity)}"), "left_semi"), "join-shared")
 
     def packed(self, wanted: DataFrame) -> DataFrame:
-        """(vid, z): the words of each set's text, packed."""
+        """(vid, z, fine parities): z is the words of each set's text, packed."""
         n = self.n
 
+        @tidy
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for whole in batches:
                 for batch in slices(whole, "_text"):
-                    keep, z = [], []
+                    keep, z, fine = [], [], []
                     for i, (text, s1, s2) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_text", "s1", "s2")), strict=True)):
                         words = words_of(text)
-                        if (s1, s2) == tuple(map(int, sign(shingles(words, n, hashes)))):
+                        if (s1, s2) == tuple(map(int, sign(h := shingles(words, n, hashes)))):
                             keep.append(i)
+                            fine.append(parities(h, 8, FINE))
                             z.append(zlib.compress(b" ".join(words), 1))
-                    yield pa.RecordBatch.from_arrays([batch.column("vid").take(pa.array(keep, pa.int64())), pa.array(z, pa.binary())], ["vid", "z"])
+                    yield pa.RecordBatch.from_arrays([batch.column("vid").take(pa.array(keep, pa.int64())), pa.array(z, pa.binary()), *map(pa.array, np.array(fine, np.int64).reshape(-1, len(FINE)).T)], ["vid", "z", *FINE])
 
         docs = self.docs.select(F.col(self.id_col).alias("_id"), F.col(self.text_col).alias("_text"))
         both = docs.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))).select("vid", "s1", "s2", "_text")
-        return both.mapInArrow(pack, "vid long, z binary").groupBy("vid").agg(F.first("z").alias("z"))
+        return both.mapInArrow(pack, f"vid long, z binary, {', '.join(f'{q} long' for q in FINE)}").groupBy("vid").agg(*(F.first(c).alias(c) for c in ("z", *FINE)))
 
     def may_link(self, n: str, m: str) -> str:
         """SQL: the sizes can link. An intersection i links if (num + den) * i >= num * (n + m)."""
@@ -152,43 +177,30 @@ class Join:
         """SQL: with a common n-gram at places i and j, those before can meet those before, and those after those after."""
         return f"(least({i}, {j}) + least({n} - {i}, {m} - {j}) >= {self.least(n, m)})"
 
-    def close(self, a: str, b: str) -> str:
-        return f"({self.apart(a, b)} <= {a}.n + {b}.n - 2 * {self.least(f'{a}.n', f'{b}.n')})"
-
-    def apart(self, a: str, b: str) -> str:
+    def apart(self, a: str, b: str, parity: tuple[str, ...]) -> str:
         """SQL: a number that the sets differ by at least: the parities that do."""
-        return "(" + " + ".join(f"bit_count({a}.{p} ^ {b}.{p})" for p in PARITY) + ")"
-
-    def neighbours(self) -> DataFrame:
-        """Pairs next to each other in a posting list, through all filters: a, b, apart."""
-        pairs = self.shared.where(f"prev_vid IS NOT NULL AND {self.may_link('n', 'prev_n')} AND {self.placed('n', 'pos', 'prev_n', 'prev_pos')}")
-        pairs = pairs.select(F.least("vid", "prev_vid").alias("a"), F.greatest("vid", "prev_vid").alias("b")).distinct()
-        s = self.sets.select("vid", "n", *PARITY)
-        both = pairs.join(s.alias("x"), F.col("a") == F.col("x.vid")).join(s.alias("y"), F.col("b") == F.col("y.vid"))
-        return both.where(self.close("x", "y")).select("a", "b", F.expr(self.apart("x", "y")).alias("apart"))
-
-    def mixed(self, roots: DataFrame | None) -> DataFrame:
-        """The postings, with their sets' sizes and parities, of n-grams that join different components c."""
-        posted = self.shared.select("token", "vid", "pos")
-        if roots is not None:
-            posted = posted.join(roots, posted["vid"] == roots["v"], "left").withColumn("c", F.coalesce("root", "vid")).select("token", "vid", "pos", "c")
-            tokens = posted.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
-            posted = posted.join(tokens, "token", "left_semi")
-        else:
-            posted = posted.withColumn("c", F.col("vid"))
-        return written(posted.join(self.sets.select("vid", "n", *PARITY), "vid"), "join-mixed")
-
-    def may(self, x: str, y: str) -> str:
-        """SQL: all filters of a pair of postings of one n-gram."""
-        return f"{x}.vid <> {y}.vid AND {x}.c <> {y}.c AND {self.may_link(f'{x}.n', f'{y}.n')} AND {self.placed(f'{x}.n', f'{x}.pos', f'{y}.n', f'{y}.pos')} AND {self.close(x, y)}"
+        return "(" + " + ".join(f"bit_count({a}.{p} ^ {b}.{p})" for p in parity) + ")"
+
+    def mixed(self, roots: DataFrame) -> DataFrame:
+        """The postings of n-grams that join different components c."""
+        posted = self.shared.drop("c").join(roots, F.col("vid") == F.col("v"), "left").withColumn("c", F.coalesce("root", "vid")).drop("v", "root")
+        tokens = posted.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
+        return written(posted.join(tokens, "token", "left_semi"), "join-mixed")
 
-    def around(self, posted: DataFrame, most: int = 16) -> DataFrame:
-        """Of those pairs the ones with at most so many postings between them: as many rows as postings, however large a group."""
-        by = Window.partitionBy("token").orderBy("n", "vid")
-        x = F.struct("vid", "n", "pos", "c", *PARITY)
+    def may(self, x: str, y: str, parity: tuple[str, ...] = FINE) -> str:
+        """SQL: all filters of a pair of postings of one n-gram."""
+        near = f"{self.apart(x, y, parity)} <= {x}.n + {y}.n - 2 * {self.least(f'{x}.n', f'{y}.n')}"
+        return f"{x}.vid <> {y}.vid AND {x}.c <> {y}.c AND {self.may_link(f'{x}.n', f'{y}.n')} AND {self.placed(f'{x}.n', f'{x}.pos', f'{y}.n', f'{y}.pos')} AND {near}"
+
+    def around(self, posted: DataFrame, most: int) -> DataFrame:
+        """Pairs a < b of different components with less than so many postings between them, and how far apart they are at
+        least: as many rows as postings at most for each of them, however large a group is."""
+        by = Window.partitionBy("token", "part").orderBy("n", "vid")
+        x = F.struct("vid", "n", "pos", "c", *FINE)
         rows = posted.select(x.alias("x"), F.array(*(F.lag(x, i).over(by) for i in range(1, most + 1))).alias("before"))
-        rows = rows.select("x.vid", F.explode(F.expr(f"transform(filter(before, y -> y IS NOT NULL AND {self.may('x', 'y')}), y -> y.vid)")).alias("other"))
-        return rows.select(F.least("vid", "other").alias("a"), F.greatest("vid", "other").alias("b")).distinct()
+        kept = f"transform(filter(before, y -> y IS NOT NULL AND {self.may('x', 'y')}), y -> named_struct('vid', y.vid, 'apart', {self.apart('x', 'y', FINE)}))"
+        rows = rows.select("x.vid", F.explode(F.expr(kept)).alias("y"))
+        return rows.select(F.least("vid", "y.vid").alias("a"), F.greatest("vid", "y.vid").alias("b"), "y.apart").distinct()
 
     def crossing(self, posted: DataFrame) -> DataFrame:
         """All pairs of those postings, in different components, through all filters."""
@@ -199,6 +211,7 @@ class Join:
         """The pairs (a, b) that link."""
         n, num, den = self.n, self.num, self.den
 
+        @tidy
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, last = WordHashes(), (None, None)
             for batch in batches:
@@ -219,14 +232,13 @@ class Join:
 
     def roots(self) -> DataFrame:
         """(v, root) of the vertices that have a smaller one in their component."""
-        near = written(self.neighbours(), "join-near")
+        near = written(self.around(self.shared, 1), "join-near")
         first = near.groupBy(F.col("b").alias("v")).agg(F.min(F.struct("apart", "a")).alias("best")).select(F.col("best.a").alias("a"), F.col("v").alias("b"))
         links = written(self.verified(first), "join-links")
-        roots = components(links)
-        rest = self.apart_in(near.select("a", "b").join(first, ["a", "b"], "left_anti"), roots)
+        rest = self.apart_in(near.select("a", "b").join(first, ["a", "b"], "left_anti"), components(links))
         tried = near.select("a", "b")
         links = written(links.unionByName(self.verified(rest)), "join-links")
-        more = written(self.around(self.mixed(components(links))).join(tried, ["a", "b"], "left_anti"), "join-near")
+        more = written(self.around(self.mixed(components(links)), NEAR).select("a", "b").join(tried, ["a", "b"], "left_anti"), "join-near")
         tried = tried.unionByName(more)
         links = written(links.unionByName(self.verified(more)), "join-links")
         roots = components(links)
@@ -259,7 +271,7 @@ def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: st
     """All links between different texts as (a, b), and membership as (doc_id, text_id); a text's id is its smallest document."""
     j = Join(docs, n, num, den, id_col, text_col)
     names = j.sets.select("vid", "rep", "s1", "s2")
-    pairs = j.verified(j.crossing(None)).join(names.select(F.col("vid").alias("a"), F.col("rep").alias("ra")), "a").join(names.select(F.col("vid").alias("b"), F.col("rep").alias("rb")), "b")
+    pairs = j.verified(j.crossing(j.shared)).join(names.select(F.col("vid").alias("a"), F.col("rep").alias("ra")), "a").join(names.select(F.col("vid").alias("b"), F.col("rep").alias("rb")), "b")
     members = j.rows.join(names, ["s1", "s2"]).select("doc_id", F.col("rep").alias("text_id"))
     return pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")), members
 

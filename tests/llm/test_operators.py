@@ -168,6 +168,25 @@ def test_join_links_are_all(docs, rows):
     assert members.where("doc_id <> text_id").count() > 0
 
 
+def test_join_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Lists longer than a part, pairs across parts, and components that neighbours alone don't find."""
+    import random
+
+    monkeypatch.setattr(ngram_join, "LIST", 16)
+    monkeypatch.setattr(ngram_join, "NEAR", 2)
+    r = random.Random(9)
+    base = [f"w{r.randrange(400)}" for _ in range(120)]
+    rows = []
+    for i in range(220):
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = f"x{r.randrange(30)}"
+        rows.append((i, " ".join(w)))
+    got = Counter(map(tuple, ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()))
+    assert got == brute_join(rows, 3, 90, 100)[0]
+    assert 1 < len({c for _, _, c in got}) < 220
+
+
 def test_join_of_nothing(empty):
     assert ngram_join.joined(empty).count() == 0
 
