@@ -36,7 +36,7 @@ def blank_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, repeated as often as it takes them; sources then have their target weights."""
+    """Documents as often as the mix takes them whole, rounded by chance, none included; sources then have their target weights."""
     return mixing.repeated(docs)
 
 

@@ -104,12 +104,19 @@ def mix(docs: DataFrame, block_words: int = 64, shard_blocks: int = 1024, weight
     return taken.join(quota.select("src", "source", "source_size", "target"), "src").select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
-def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes words of, each as often as the rounded number of times that it takes them whole, once at least."""
-    ids = mix(docs, **options).where("taken > 0").groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = ids.select(F.col("doc_id").alias("_id"), F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    both = docs.join(times, docs[options.get("id_col", "doc_id")].eqNullSafe(times["_id"]))
-    return both.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+def repeated(docs: DataFrame, seed: int = 1, **options) -> DataFrame:
+    """Each document as often as the mix takes it whole, on average: taken / size, rounded down or up by chance with these odds.
+
+    The words of a source thus come to its target, but for what chance leaves. The chance is a hash of the seed and the row.
+    Rows with one id in one source share what is taken of them. Documents that nothing is taken of are gone.
+    """
+    key, text, source = (F.col(options.get(f"{c}_col", d)) for c, d in (("id", "doc_id"), ("text", "text"), ("source", "source")))
+    odds = mix(docs, seed=seed, **options).groupBy("doc_id", "source").agg((F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).alias("_odds")).where("_odds > 0")
+    odds = odds.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_odds")
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.lit("copies"), key, source, text), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    both = docs.join(odds, key.eqNullSafe(F.col("_id")) & source.cast("string").eqNullSafe(F.col("_source")))
+    both = both.withColumn("_times", F.floor(F.col("_odds") + u).cast("int")).where("_times > 0")
+    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,6 +118,15 @@ def test_mix_of_nothing(empty, docs):
     assert {r.taken for r in mixing.mix(docs.withColumn("text", F.lit(None).cast("string"))).collect()} == {0}
 
 
+def test_repeated_has_the_targets_words(spark):
+    rows = [(s * 100_000 + i, " ".join(["w"] * (40 + i % 200)), f"src{s}") for s, n in enumerate((2000, 400, 200)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    size = F.size(F.split("text", " "))
+    got = {r.source: r.words for r in mixing.repeated(docs).groupBy("source").agg(F.sum(size).alias("words")).collect()}
+    assert target["src0"] < 150_000 and all(abs(got[s] - target[s]) < 0.1 * target[s] for s in target)
+
+
 def test_repeated_keeps_columns(docs):
     assert mixing.repeated(docs).columns == docs.columns
 
