@@ -2,7 +2,8 @@
 
 An n-gram of quantised count q is in the filter at levels 1 to q; its count is read back by probing level after level until one
 fails. The filter holds unigrams, bigrams seen twice or more, and how many tokens each history's kept bigrams cover. Buckets
-of n-grams each have a region of the filter of their own, so that regions are built side by side and only laid end to end.
+of n-grams each have a region of the filter of their own. No task holds the whole filter: texts are taken in chunks, a chunk's
+n-grams go to their buckets once each, are probed in the bucket's region, and their levels come back to the chunk.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import WordHashes, crc_mod, lean, mix64, slices, table, tidy, written
 
@@ -25,9 +29,13 @@ C1, C2, HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.
 BASE, BITS, PROBES, LEVELS = 2.0, 12, 6, 64
 #: Words of which the exact counts are broadcast; the counts of others are joined.
 HEAD = 1 << 17
-#: Entries that a worker gathers before it hands them on.
-GATHERED = 4_000_000
-CUTS = [2**j for j in range(31)]
+#: Entries that a worker gathers before it hands them on, and tokens of a chunk of texts that is scored at once.
+GATHERED, CHUNK = 4_000_000, 1_000_000
+#: Bits of an n-gram's hash that its lookup in a region leaves out. With 44 left, 2^32 n-grams answer wrongly for one in 4096 of
+#: others, where 12 bits an item do for one in 250.
+SHORT = np.uint64(20)
+#: Rows of what is asked: a text, a chunk's tokens; else the kind of n-gram.
+TEXT, TOKENS = -2, -1
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
@@ -58,6 +66,26 @@ def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(steps.T).tobytes() + np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def packed_tokens(which: np.ndarray, distinct: np.ndarray, sizes: np.ndarray) -> bytes:
+    head = np.array([len(distinct), len(sizes)], np.uint64).tobytes()
+    return head + zlib.compress(distinct.tobytes() + sizes.astype(np.uint32).tobytes() + np.ascontiguousarray(which.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked_tokens(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, texts = (int(x) for x in np.frombuffer(data[:16], np.uint64))
+    raw = np.frombuffer(zlib.decompress(data[16:]), np.uint8)
+    which = np.ascontiguousarray(raw[8 * n + 4 * texts :].reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+    return which, raw[: 8 * n].view(np.uint64), raw[8 * n : 8 * n + 4 * texts].view(np.uint32).astype(np.int64)
+
+
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, 8, -1)
     keys, counts = (np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in raw)
@@ -71,6 +99,20 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, dict[int, slice]]:
+    """An order of the keys by bucket, that of their lookups, and where in it each bucket is."""
+    found = mix64(keys ^ C2)
+    order = np.argsort(found)
+    where = part_of(found[order], buckets)
+    cuts = np.searchsorted(where, np.arange(buckets + 1, dtype=np.uint64))
+    return order, {int(b): slice(cuts[b], cuts[b + 1]) for b in np.flatnonzero(np.diff(cuts))}
+
+
+def lookups(keys: np.ndarray) -> np.ndarray:
+    """What n-grams are looked up by in their bucket's region: they take half of the bytes when they are sent."""
+    return mix64(keys ^ C2) >> SHORT
+
+
 def tokens(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all texts' tokens, each with its end, the hash before each, and the number of tokens of each text."""
     lists = [(t or "").encode().lower().split() for t in texts]
@@ -100,11 +142,9 @@ def gathered(docs: DataFrame, buckets: int, text_col: str) -> DataFrame:
                     continue
                 keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
                 parts.clear()
-                where = bucket_of(keys, buckets)
-                order = np.argsort(where, kind="stable")
-                cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([packed(keys[o], counts[o]) for b in full for o in (order[cuts[b] : cuts[b + 1]],)], pa.binary())], ["kind", "bucket", "data"])
+                order, full = dealt(keys, buckets)
+                full = {b: np.sort(order[at]) for b, at in full.items()}
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(full), pa.int32()), pa.array(list(full), pa.int32()), pa.array([packed(keys[at], counts[at]) for at in full.values()], pa.binary())], ["kind", "bucket", "data"])
 
         n = 0
         for whole in batches:
@@ -164,9 +204,10 @@ class Filter:
             a = a + step
         return np.packbits(bits, bitorder="little").tobytes()
 
-    def levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
+    def levels(self, kind: int, keys: np.ndarray, bucket: int | None = None) -> np.ndarray:
+        """Of keys of any bucket, or all of the given one."""
         out = np.zeros(len(keys), np.int64)
-        bucket = bucket_of(keys, self.buckets)
+        bucket = bucket_of(keys, self.buckets) if bucket is None else np.full(len(keys), bucket)
         start, size = self.start[kind, bucket], self.size[kind, bucket]
         live = np.flatnonzero(size > 0)
         for level in range(1, LEVELS + 1):
@@ -185,32 +226,45 @@ class Filter:
         return expected(self.levels(kind, keys))
 
 
-def built(counts: DataFrame, buckets: int, most_bytes: int) -> Filter:
-    """The filter over all counts. If it would take more than most_bytes, n-grams of small counts stay out, at the least power of
-    two that makes it fit: the broadcast has this bound whatever the input."""
+def needed(which: np.ndarray, distinct: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Of a chunk's tokens: which of its bigrams each makes, and the n-grams of each kind whose counts scoring needs."""
+    pair, pairs = pd.factorize(bigrams(before, distinct[which]))
+    return pair, {UNI: distinct, BI: pairs, MASS: np.append(distinct, START) & HIGH}
 
-    def sizes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for data in part["data"]:
-                _, counts = unpacked(data)
-                q = quantised(counts)
-                yield pd.DataFrame({"cut": CUTS, "items": [int(q[counts >= c].sum()) for c in CUTS]})
 
-    items = {r["cut"]: r["items"] for r in counts.mapInPandas(sizes, "cut long, items long").groupBy("cut").agg(F.sum("items").alias("items")).collect()}
-    cut = next((c for c in CUTS if items.get(c, 0) * BITS // 8 <= most_bytes), CUTS[-1])
+def stood(which: np.ndarray, distinct: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What stands before each token: the start of a text before its first."""
+    before = np.roll(distinct[which], 1)
+    before[np.cumsum(sizes) - sizes] = START
+    return before
 
-    def regions(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for kind, bucket, data in zip(part["kind"], part["bucket"], part["data"], strict=True):
-                keys, counts = unpacked(data)
-                keys, counts = keys[counts >= cut], counts[counts >= cut]
-                if len(keys):
-                    yield pd.DataFrame({"kind": [kind], "bucket": [bucket], "bits": [Filter.region(keys, quantised(counts))]})
 
-    return Filter([tuple(r) for r in counts.mapInPandas(regions, "kind int, bucket int, bits binary").toLocalIterator()], buckets)
+def answered(asked: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
+    """(chunk, kind, bucket, data) with the levels of n-grams in place of n-grams, in the same order. A bucket's region is built where it is probed."""
 
+    def answer(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        if not len(ask):
+            return pd.DataFrame({"chunk": [], "kind": [], "bucket": [], "data": []})
+        kind, bucket, regions = int(ask["kind"].iloc[0]), int(ask["bucket"].iloc[0]), []
+        if len(have):
+            keys, n = summed(*(np.concatenate(x) for x in zip(*map(unpacked, have["data"]), strict=True)))
+            regions.append((kind, bucket, Filter.region(lookups(keys), quantised(n))))
+        parts = [unpacked_keys(x) for x in ask["data"]]
+        which, distinct = pd.factorize(np.concatenate(parts))
+        levels = Filter(regions, buckets).levels(kind, distinct, bucket).astype(np.uint8)[which]
+        ends = np.cumsum([len(x) for x in parts])
+        return ask.assign(data=[zlib.compress(x.tobytes(), 1) for x in np.split(levels, ends[:-1])])
 
-def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = 128 << 20) -> DataFrame:
+    schema = "chunk long, kind int, bucket int, data binary"
+    return asked.groupBy("kind", "bucket").cogroup(counts.groupBy("kind", "bucket")).applyInPandas(answer, schema)
+
+
+def free(spark: SparkSession) -> None:
+    """Shuffles that nothing refers to any more lose their files once the JVM collects its garbage: have it do so now."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row a document.
 
     The model learns from rows where held_out (a column) is false. score sums log10 of (c(hw) + (c(h) - m(h) + 1) p(w)) /
@@ -225,6 +279,7 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     buckets = max(8, 2 * rows.rdd.getNumPartitions())
     counts = gathered(rows.where("NOT held_out"), buckets, "text")
+    free(spark)
 
     def words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -236,12 +291,6 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
     n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     texts = (known.where(F.col("h") == int(END.view(np.int64))).agg(F.max("c")).first()[0]) or 0
 
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        keys, sums = summed(*(np.concatenate(x) for x in zip(*map(unpacked, part["data"]), strict=True)))
-        return pd.DataFrame({"kind": part["kind"].iloc[:1], "bucket": part["bucket"].iloc[:1], "data": [packed(keys, sums)]})
-
-    mass = counts.where(f"kind = {MASS}").groupBy("kind", "bucket").applyInPandas(merge, "kind int, bucket int, data binary")
-    bloom = built(counts.where(f"kind <> {MASS}").unionByName(written(mass, "lm-mass")), buckets, most_bytes)
     # The most frequent words by classes of counts, as many classes as HEAD words hold.
     level = F.floor(F.log2("c") * 4)
     room, least = HEAD, None
@@ -250,15 +299,37 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
             break
         least = r["level"]
     head = known.where(level >= least if least is not None else F.lit(False)).toPandas().sort_values("h")
-    shared = spark.sparkContext.broadcast((bloom, head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64)))
+    shared = spark.sparkContext.broadcast((head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64)))
     whole = n + v + 1
 
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"row long, kind int, bucket int, data binary, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, tail array<long>, times array<long>"
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
     @tidy
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (bloom, names, often) = WordHashes(), shared.value
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, (names, often), row = WordHashes(), shared.value, TaskContext.get().partitionId() << 33
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows_of(n: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in types], schema=types)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            word, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            chunk = row - len(sizes)
+            which, distinct = pd.factorize(word)
+            yield rows_of(1, row=[chunk], kind=[TOKENS], data=[packed_tokens(which, distinct, sizes)])
+            for kind, keys in needed(which, distinct, stood(which, distinct, sizes))[1].items():
+                order, full = dealt(keys, buckets)
+                found = lookups(keys[order])
+                yield rows_of(len(full), row=[chunk] * len(full), kind=[kind] * len(full), bucket=list(full), data=[packed_keys(found[at]) for at in full.values()])
+
         for big in batches:
             for batch in slices(big, "text"):
-                word, before, sizes = tokens(batch.column("text").to_pylist(), hashes)
+                word, _, sizes = tokens(batch.column("text").to_pylist(), hashes)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 which, distinct = pd.factorize(word.view(np.int64))
                 at = np.minimum(np.searchsorted(names, distinct), max(0, len(names) - 1))
@@ -268,25 +339,48 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
                 pairs, times = np.unique(doc[rest] * len(distinct) + which[rest], return_counts=True)
                 tail_doc, tail = pairs // len(distinct), distinct[pairs % len(distinct)]
                 ends = np.searchsorted(tail_doc, np.arange(len(sizes) + 1)).astype(np.int32)
-
-                first = before == START  # else the word before is the one that stands before
-                c_distinct, m_distinct = (bloom.counts(kind, keys) for kind, keys in ((UNI, distinct.view(np.uint64)), (MASS, distinct.view(np.uint64) & HIGH)))
-                c_word, c_before, covered = c_distinct[which], np.roll(c_distinct[which], 1), np.roll(m_distinct[which], 1)
-                c_before[first], covered[first] = texts, bloom.counts(MASS, np.array([START & HIGH]))[0]
-                covered = np.minimum(covered, c_before)
-                both = np.minimum(bloom.counts(BI, bigrams(before, word)), covered)
-                p = np.minimum(1.0, (both + (c_before - covered + 1) * (c_word + 1) / whole) / (c_before + 1))
                 add = lambda x: np.bincount(doc, x, len(sizes))
-                lists = lambda x, t: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, t))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(sizes), pa.array(add(hit[which]).astype(np.int64)), pa.array(add(log[which])), pa.array(add(np.log10(p))), lists(tail, pa.int64()), lists(times.astype(np.int64), pa.int64())], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "tail", "times"])
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int64)))
+                columns = {"row": np.arange(row, row + len(sizes)), "kind": [TEXT] * len(sizes), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": sizes, "known": add(hit[which]).astype(np.int64), "base": add(log[which])}
+                made = rows_of(len(sizes), **columns)
+                yield made.set_column(9, types.field("tail"), lists(tail).cast(types.field("tail").type)).set_column(10, types.field("times"), lists(times).cast(types.field("times").type))
+                row += len(sizes)
+                held.append((word, sizes))
+                if sum(len(x) for x, _ in held) > CHUNK:
+                    yield from out()
+        yield from out()
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>, times array<long>")
-    out = written(out.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
+    asked = written(rows.mapInArrow(ask, schema), "lm-asked")
+    levels = written(answered(asked.where(f"kind >= {UNI}").select(F.col("row").alias("chunk"), "kind", "bucket", "data"), counts, buckets), "lm-levels")
+    free(spark)
+
+    def score(chunk: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        which, distinct, sizes = unpacked_tokens(chunk["data"].iloc[0])
+        before = stood(which, distinct, sizes)
+        pair, keys = needed(which, distinct, before)
+        count = {}
+        for kind, x in keys.items():
+            own = found[found["kind"] == kind].sort_values("bucket")
+            count[kind] = np.empty(len(x))
+            count[kind][dealt(x, buckets)[0]] = expected(np.frombuffer(b"".join(map(zlib.decompress, own["data"])), np.uint8).astype(np.int64))
+        first = np.cumsum(sizes) - sizes
+        c_word = count[UNI][which]
+        c_before, covered = np.roll(c_word, 1), np.roll(count[MASS][which], 1)
+        c_before[first], covered[first] = texts, count[MASS][-1]
+        covered = np.minimum(covered, c_before)
+        both = np.minimum(count[BI][pair], covered)
+        p = np.minimum(1.0, (both + (c_before - covered + 1) * (c_word + 1) / whole) / (c_before + 1))
+        at = int(chunk["chunk"].iloc[0])
+        return pd.DataFrame({"row": np.arange(at, at + len(sizes)), "score": np.add.reduceat(np.log10(p), first)})
+
+    chunks = asked.where(f"kind = {TOKENS}").select(F.col("row").alias("chunk"), "data")
+    scores = written(chunks.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInPandas(score, "row long, score double"), "lm-scores")
+    free(spark)
+    out = asked.where(f"kind = {TEXT}").drop("kind", "bucket", "data")
     tails = out.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("h"), F.col("x.times").alias("times"))
     c = F.coalesce(F.col("c"), F.lit(0))
     tails = tails.join(known.hint("merge"), "h", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(whole)))).alias("tail_base"))
-    out = out.join(tails, "row", "left")
+    out = out.join(tails, "row", "left").join(scores.hint("merge"), "row")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"), "score")
 
 

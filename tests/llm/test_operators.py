@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -44,6 +45,14 @@ def test_lm_tail_words_are_joined(docs, monkeypatch):
         assert r.base_score == pytest.approx(whole[r.doc_id, r.n_tokens].base_score)
 
 
+def test_lm_broadcasts_do_not_grow_with_the_ngrams(docs, monkeypatch):
+    sent, send = [], docs.sparkSession.sparkContext.broadcast
+    monkeypatch.setattr(docs.sparkSession.sparkContext, "broadcast", lambda x: sent.append(len(pickle.dumps(x))) or send(x))
+    monkeypatch.setattr(lm, "HEAD", 3)
+    lm.scored(docs, F.lit(False)).collect()
+    assert max(sent) < 1000
+
+
 def test_lm_empty_and_untrained(docs, empty):
     assert lm.scored(empty, F.lit(False)).count() == 0
     assert {(r.n_known, r.train_tokens, r.base_score) for r in lm.scored(docs, F.lit(True)).collect()} == {(0, 0, 0.0)}
