@@ -1,7 +1,7 @@
 """Scoring texts by a bigram model whose counts are in a log-frequency Bloom filter.
 
 An n-gram of quantised count q is in the filter at levels 1 to q; its count is read back by probing level after level until one
-fails. The filter holds unigrams, bigrams seen twice or more, and how many tokens each history's kept bigrams cover. Buckets
+fails. The filter holds all unigrams, all bigrams, and how many different tokens come after each history. Buckets
 of n-grams each have a region of the filter of their own. No task holds the whole filter: texts are taken in chunks, a chunk's
 n-grams go to their buckets once each, are probed in the bucket's region, and their levels come back to the chunk.
 """
@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from .common import WordHashes, crc_mod, lean, mix64, slices, table, tidy, written
 
-UNI, BI, MASS = 0, 1, 2
+UNI, BI, AFTER = 0, 1, 2
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 C1, C2, HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFF00000000)
 #: Base of the quantisation, bits an item, probes a level. Expected count of a level: the middle of its range by ratio.
@@ -130,7 +130,7 @@ def tokens(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.
 
 
 def gathered(docs: DataFrame, buckets: int, text_col: str) -> DataFrame:
-    """(kind, bucket, data): sums over the whole input, a row a bucket; of bigrams those seen twice, and their histories' mass."""
+    """(kind, bucket, data): sums over the whole input, a row a bucket. Of bigrams the region of their counts, and how many each history has."""
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,10 +164,9 @@ def gathered(docs: DataFrame, buckets: int, text_col: str) -> DataFrame:
         keys, counts = summed(*(np.concatenate(x) for x in zip(*map(unpacked, part["data"]), strict=True)))
         if kind != BI:
             return pd.DataFrame({"kind": [kind], "bucket": part["bucket"].iloc[:1], "data": [packed(keys, counts)]})
-        keys, counts = keys[counts > 1], counts[counts > 1]
-        mass, sums = summed(keys & HIGH, counts)
-        where = bucket_of(mass, buckets)
-        rows = [(BI, int(part["bucket"].iloc[0]), packed(keys, counts))] + [(MASS, int(b), packed(mass[where == b], sums[where == b])) for b in np.unique(where)]
+        after, sums = summed(keys & HIGH, np.ones_like(counts))
+        where = bucket_of(after, buckets)
+        rows = [(BI, int(part["bucket"].iloc[0]), Filter.region(lookups(keys), quantised(counts)))] + [(AFTER, int(b), packed(after[where == b], sums[where == b])) for b in np.unique(where)]
         return pd.DataFrame(rows, columns=["kind", "bucket", "data"])
 
     schema = "kind int, bucket int, data binary"
@@ -229,7 +228,7 @@ class Filter:
 def needed(which: np.ndarray, distinct: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """Of a chunk's tokens: which of its bigrams each makes, and the n-grams of each kind whose counts scoring needs."""
     pair, pairs = pd.factorize(bigrams(before, distinct[which]))
-    return pair, {UNI: distinct, BI: pairs, MASS: np.append(distinct, START) & HIGH}
+    return pair, {UNI: distinct, BI: pairs, AFTER: np.append(distinct, START) & HIGH}
 
 
 def stood(which: np.ndarray, distinct: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -240,13 +239,15 @@ def stood(which: np.ndarray, distinct: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 def answered(asked: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, kind, bucket, data) with the levels of n-grams in place of n-grams, in the same order. A bucket's region is built where it is probed."""
+    """(chunk, kind, bucket, data) with the levels of n-grams in place of n-grams, in the same order."""
 
     def answer(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         if not len(ask):
             return pd.DataFrame({"chunk": [], "kind": [], "bucket": [], "data": []})
         kind, bucket, regions = int(ask["kind"].iloc[0]), int(ask["bucket"].iloc[0]), []
-        if len(have):
+        if kind == BI:
+            regions += [(kind, bucket, data) for data in have["data"]]
+        elif len(have):
             keys, n = summed(*(np.concatenate(x) for x in zip(*map(unpacked, have["data"]), strict=True)))
             regions.append((kind, bucket, Filter.region(lookups(keys), quantised(n))))
         parts = [unpacked_keys(x) for x in ask["data"]]
@@ -267,8 +268,8 @@ def free(spark: SparkSession) -> None:
 def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row a document.
 
-    The model learns from rows where held_out (a column) is false. score sums log10 of (c(hw) + (c(h) - m(h) + 1) p(w)) /
-    (c(h) + 1): counts as the filter has them, m(h) what the history's kept bigrams cover, p(w) = (c(w) + 1) / (N + V + 1).
+    The model learns from rows where held_out (a column) is false. score sums log10 of (c(hw) + (t(h) + 1) p(w)) /
+    (c(h) + t(h) + 1): counts as the filter has them, t(h) how many different tokens come after h, p(w) = (c(w) + 1) / (N + V + 1).
     base_score has exact counts throughout: those of the HEAD most frequent words are broadcast, all others are joined.
     Null and empty texts have the end as their only token. Null ids: held_out false if the column says so, else as false.
     Repeated rows are rows of their own. No training rows: N and V are 0 and every probability is 1. Words are told apart
@@ -365,11 +366,11 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
             count[kind][dealt(x, buckets)[0]] = expected(np.frombuffer(b"".join(map(zlib.decompress, own["data"])), np.uint8).astype(np.int64))
         first = np.cumsum(sizes) - sizes
         c_word = count[UNI][which]
-        c_before, covered = np.roll(c_word, 1), np.roll(count[MASS][which], 1)
-        c_before[first], covered[first] = texts, count[MASS][-1]
-        covered = np.minimum(covered, c_before)
-        both = np.minimum(count[BI][pair], covered)
-        p = np.minimum(1.0, (both + (c_before - covered + 1) * (c_word + 1) / whole) / (c_before + 1))
+        c_before, after = np.roll(c_word, 1), np.roll(count[AFTER][which], 1)
+        c_before[first], after[first] = texts, count[AFTER][-1]
+        after = np.minimum(after, c_before)
+        both = np.minimum(count[BI][pair], c_before)
+        p = np.minimum(1.0, (both + (after + 1) * (c_word + 1) / whole) / (c_before + after + 1))
         at = int(chunk["chunk"].iloc[0])
         return pd.DataFrame({"row": np.arange(at, at + len(sizes)), "score": np.add.reduceat(np.log10(p), first)})
 

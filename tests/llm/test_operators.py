@@ -53,6 +53,12 @@ def test_lm_broadcasts_do_not_grow_with_the_ngrams(docs, monkeypatch):
     assert max(sent) < 1000
 
 
+def test_lm_knows_pairs_seen_once(spark):
+    rows = [(i, f"a{i} b{i}") for i in range(40)] + [(100 + i, f"a{i} b{(i + 1) % 40}") for i in range(40)]
+    got = {r.doc_id: r.score for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
+    assert np.mean([got[i] > got[100 + i] + 1 for i in range(40)]) > 0.9
+
+
 def test_lm_empty_and_untrained(docs, empty):
     assert lm.scored(empty, F.lit(False)).count() == 0
     assert {(r.n_known, r.train_tokens, r.base_score) for r in lm.scored(docs, F.lit(True)).collect()} == {(0, 0, 0.0)}
