@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import lean, slices, table, tidy
+from .common import slices, table, tidy
 
 NO_RANK = np.int32(2**31 - 1)
 #: Cells of a matrix at most, and pieces whose encoding a worker keeps.
@@ -167,7 +167,6 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
     The vocabulary file lies on every machine at `path`. Null text counts as empty: no ids. Rows are kept one for one, and
     text of any length is encoded whole, a run of its pieces at a time. Columns of the added names are replaced.
     """
-    lean(docs.sparkSession)
     path, pattern = path or vocabulary()[0], pattern or vocabulary()[1]
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>"
     names = added.split()[::2]

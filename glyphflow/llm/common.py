@@ -25,16 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: What a worker gets at once: rows and bytes at most. Texts differ in length by orders of magnitude.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
-
-
-def lean(spark: SparkSession) -> None:
-    """Batches for workers of few rows and bytes, for the rest of the session: memory by task then has a bound."""
-    for key, value in BATCH.items():
-        spark.conf.set(key, value)
-
-
 def lower_ascii(col: Column) -> Column:
     """A-Z lower-cased, every other character kept."""
     return F.translate(col, UPPER, UPPER.lower())
@@ -46,9 +36,12 @@ def crc_mod(col: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, a temporary one that is then set."""
+    """The folder in spark.checkpoint.dir. Only where driver and workers are one process may it be unset: a temporary one is then
+    set. RuntimeError on a cluster without one, as its machines share no local folder."""
     sc = spark.sparkContext
     if not (found := sc.getConf().get("spark.checkpoint.dir", None)) and not (found := sc.getCheckpointDir()):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="glyphflow-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
@@ -62,18 +55,36 @@ def remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Has Spark remove a query's shuffles as soon as it ends, which a written table makes safe.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors, goes when the driver ends."""
+    """df as a table in the shared folder: cuts the lineage, survives lost executors, goes when discarded or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-
-    def drop() -> None:
-        if spark.sparkContext._jsc is not None:
-            remove(spark, path)
-
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._drop = functools.partial(dropped, spark, path)
+    atexit.register(out._drop)
+    return out
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        remove(spark, path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for t in tables:
+        t._drop()
+        atexit.unregister(t._drop)
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:

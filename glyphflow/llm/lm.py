@@ -1,15 +1,16 @@
 """Scoring texts by a bigram model whose counts are in a log-frequency Bloom filter.
 
 An n-gram of quantised count q is in the filter at levels 1 to q; its count is read back by probing level after level until one
-fails. The filter holds all unigrams, all bigrams, and how many different tokens come after each history. Buckets
-of n-grams each have a region of the filter of their own. No task holds the whole filter: texts are taken in chunks, a chunk's
-n-grams go to their buckets once each, are probed in the bucket's region, and their levels come back to the chunk.
+fails. Sums that probabilities are divided by are in it too, as a level and seven binary digits, each a membership. The filter is
+cut into regions by history, so that no machine holds it whole and no count leaves it at any size: texts are brought to chunks of
+token numbers once; each chunk asks every region once for what it needs and gets levels back.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,104 +18,168 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from .common import WordHashes, crc_mod, lean, mix64, slices, table, tidy, written
+from .common import WordHashes, crc_mod, discard, mix64, slices, table, tidy, written
 
-UNI, BI, AFTER = 0, 1, 2
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-C1, C2, HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFF00000000)
-#: Base of the quantisation, bits an item, probes a level. Expected count of a level: the middle of its range by ratio.
-BASE, BITS, PROBES, LEVELS = 2.0, 12, 6, 64
-#: Words of which the exact counts are broadcast; the counts of others are joined.
-HEAD = 1 << 17
-#: Entries that a worker gathers before it hands them on, and tokens of a chunk of texts that is scored at once.
-GATHERED, CHUNK = 4_000_000, 1_000_000
-#: Bits of an n-gram's hash that its lookup in a region leaves out. With 44 left, 2^32 n-grams answer wrongly for one in 4096 of
-#: others, where 12 bits an item do for one in 250.
-SHORT = np.uint64(20)
-#: Rows of what is asked: a text, a chunk's tokens; else the kind of n-gram.
-TEXT, TOKENS = -2, -1
+C1, C2, LOW = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFF)
+#: Kinds of entries of a history: its own count, the sum of its bigrams' counts, how many different tokens come after it.
+OWN, MASS, AFTER = 1, 2, 3
+#: Bits an item, probes an item (one in 11,000 others then answers wrongly), levels, binary digits after the first of a sum.
+BITS, PROBES, LEVELS, DIGITS = 20, 10, 64, 7
+#: Tokens of a chunk, and training tokens that make a bucket: both bound what a task holds.
+CHUNK, BUCKET, LEAST_BUCKETS = 1_000_000, 4_000_000, 24
+#: A history with more than one in so many training tokens is spread over as many buckets as SALTS; there are HOT at most.
+HOT, SALT_BITS = 1024, 6
+
+
+def token(h: np.ndarray) -> np.ndarray:
+    """What tokens are known by: a bijection of their 64-bit hashes. Buckets are ranges of it, followers its low half."""
+    return mix64(h ^ C2)
+
+
+START_G, END_G = (int(token(np.array([x], np.uint64))[0]) for x in (START, END))
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9), LEVELS).astype(np.int64)
+    """1 + floor(log2(count)), 0 for 0: frexp is exact."""
+    return np.minimum(np.frexp(np.asarray(counts, float))[1], LEVELS).astype(np.int64)
 
 
-def expected(levels: np.ndarray) -> np.ndarray:
-    return np.where(levels > 0, np.maximum(1, BASE ** (levels - 0.5)), 0.0)
+def means() -> np.ndarray:
+    """The count that each level stands for: the mean of its range under 1 / (c (c + 1)). 0 for none, 1 for 1."""
+    h = lambda n: np.log(n) + np.euler_gamma + 1 / (2 * n) - 1 / (12 * n * n) if n > 1000 else sum(1 / i for i in range(1, int(n) + 1))
+    return np.array([0.0] + [2.0**q * (h(2.0**q) - h(2.0 ** (q - 1))) for q in range(1, LEVELS + 1)])
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return part_of(mix64(keys ^ C2), buckets).astype(np.int64)
+EXPECTED = means()
 
 
-def part_of(h: np.ndarray, size: int | np.ndarray) -> np.ndarray:
-    """The high half of a hash mapped to 0 to size-1, without a division."""
-    return ((h >> np.uint64(32)) * np.asarray(size, np.uint64)) >> np.uint64(32)
+def part_of(h: np.ndarray, size: int) -> np.ndarray:
+    """The high half of a hash mapped to 0 to size-1, without a division and in its order."""
+    return ((h >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
 
 
-def bigrams(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """High half: the history's; low half: of both."""
-    return (history & HIGH) | (mix64(history * C1 + word) >> np.uint64(32))
+def bucket_of(history: np.ndarray, follower: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """A history's bigrams are in one bucket; those of a hot one are dealt out by the follower."""
+    out = part_of(history, buckets).astype(np.int64)
+    if len(at := np.flatnonzero(np.isin(history, hot))):
+        out[at] = part_of(mix64(history[at] + (follower[at].astype(np.uint64) >> np.uint64(32 - SALT_BITS)) * C1), buckets)
+    return out
 
 
-def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences with their bytes in planes, and counts, packed."""
-    steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
-    return zlib.compress(np.ascontiguousarray(steps.T).tobytes() + np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+def planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
-def packed_keys(keys: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+def unplaned(raw: np.ndarray, kind, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw[: n * size].reshape(size, n).T).view(kind).ravel()
 
 
-def unpacked_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+def packed(*arrays: np.ndarray) -> bytes:
+    """Lengths, then the arrays' bytes in planes, packed; 32-bit hashes, which don't get smaller, are best given as bytes."""
+    head = np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()
+    return head + zlib.compress(b"".join(planes(a) for a in arrays), 1)
 
 
-def packed_tokens(which: np.ndarray, distinct: np.ndarray, sizes: np.ndarray) -> bytes:
-    head = np.array([len(distinct), len(sizes)], np.uint64).tobytes()
-    return head + zlib.compress(distinct.tobytes() + sizes.astype(np.uint32).tobytes() + np.ascontiguousarray(which.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
+    n = int(np.frombuffer(data[:8], np.int64)[0])
+    sizes = np.frombuffer(data[8 : 8 + 8 * n], np.int64)
+    raw, at, out = np.frombuffer(zlib.decompress(data[8 + 8 * n :]), np.uint8), 0, []
+    for kind, size in zip(kinds, sizes.tolist(), strict=True):
+        out.append(unplaned(raw[at:], kind, size))
+        at += size * np.dtype(kind).itemsize
+    return out
 
 
-def unpacked_tokens(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, texts = (int(x) for x in np.frombuffer(data[:16], np.uint64))
-    raw = np.frombuffer(zlib.decompress(data[16:]), np.uint8)
-    which = np.ascontiguousarray(raw[8 * n + 4 * texts :].reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
-    return which, raw[: 8 * n].view(np.uint64), raw[8 * n : 8 * n + 4 * texts].view(np.uint32).astype(np.int64)
+def steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
 
 
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, 8, -1)
-    keys, counts = (np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in raw)
-    return np.cumsum(keys, dtype=np.uint64), counts
+class Region:
+    """One bucket's bits."""
+
+    def __init__(self, bits: bytes):
+        self.bits = np.frombuffer(bits, np.uint8)
+        self.size = 8 * len(self.bits)
+
+    @staticmethod
+    def hashed(keys: np.ndarray, nth: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a = mix64(keys + np.asarray(nth, np.uint64) * C1)
+        return a, (a * C2) | np.uint64(1)
 
+    @staticmethod
+    def made(items: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+        """Of (keys, which membership of each)."""
+        bits = np.zeros(max(8, -(-sum(len(k) for k, _ in items) * BITS // 8) * 8), bool)
+        for keys, nth in items:
+            a, step = Region.hashed(keys, nth)
+            for _ in range(PROBES):
+                bits[part_of(a, len(bits)).astype(np.int64)] = True
+                a = a + step
+        return np.packbits(bits, bitorder="little").tobytes()
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    def has(self, keys: np.ndarray, nth: int) -> np.ndarray:
+        """Places of the keys that are in at this membership."""
+        live = np.arange(len(keys))
+        a, step = self.hashed(keys, nth)
+        for _ in range(PROBES if self.size else 0):
+            at = part_of(a, self.size).astype(np.int64)
+            on = np.flatnonzero((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            live, a, step = live[on], a[on], step[on]
+            a = a + step
+        return live if self.size else live[:0]
 
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        out, live = np.zeros(len(keys), np.uint8), np.arange(len(keys))
+        for level in range(1, LEVELS + 1):
+            live = live[self.has(keys[live], level)]
+            if not len(live):
+                break
+            out[live] = level
+        return out
 
-def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, dict[int, slice]]:
-    """An order of the keys by bucket, that of their lookups, and where in it each bucket is."""
-    found = mix64(keys ^ C2)
-    order = np.argsort(found)
-    where = part_of(found[order], buckets)
-    cuts = np.searchsorted(where, np.arange(buckets + 1, dtype=np.uint64))
-    return order, {int(b): slice(cuts[b], cuts[b + 1]) for b in np.flatnonzero(np.diff(cuts))}
+    def values(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers kept as a level and binary digits; 0 for what isn't there."""
+        level = self.levels(keys).astype(np.int64)
+        digits, live = np.zeros(len(keys)), np.flatnonzero(level)
+        for j in range(DIGITS):
+            digits[live[self.has(keys[live], LEVELS + 1 + j)]] += 2.0 ** -(j + 1)
+        return np.where(level > 0, 2.0 ** (level - 1) * (1 + digits), 0.0)
 
 
-def lookups(keys: np.ndarray) -> np.ndarray:
-    """What n-grams are looked up by in their bucket's region: they take half of the bytes when they are sent."""
-    return mix64(keys ^ C2) >> SHORT
+def chain(keys: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every key at each level up to its own."""
+    return np.repeat(keys, levels), np.arange(int(levels.sum())) - np.repeat(np.cumsum(levels) - levels, levels) + 1
 
 
-def tokens(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all texts' tokens, each with its end, the hash before each, and the number of tokens of each text."""
+def rounded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Level and digits of numbers from 1."""
+    whole, power = np.frexp(values)
+    digits = np.rint((2 * whole - 1) * 2**DIGITS).astype(np.int64)
+    return power + (digits >> DIGITS), digits & ((1 << DIGITS) - 1)
+
+
+def valued(keys: np.ndarray, values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    level, digits = rounded(values)
+    out = [chain(keys, level)]
+    for j in range(DIGITS):
+        on = np.flatnonzero(digits >> (DIGITS - 1 - j) & 1)
+        out.append((keys[on], np.full(len(on), LEVELS + 1 + j)))
+    return out
+
+
+def pair_keys(history: np.ndarray, follower: np.ndarray) -> np.ndarray:
+    return mix64(history * C1 + follower.astype(np.uint64))
+
+
+def kind_keys(history: np.ndarray, kind: int) -> np.ndarray:
+    return mix64(history + np.uint64(kind * int(C2) % 2**64))
+
+
+def tokens(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' tokens, each text with its end, and the number of tokens of each."""
     lists = [(t or "").encode().lower().split() for t in texts]
     sizes = np.array([len(x) + 1 for x in lists], np.int64)
     ends = np.cumsum(sizes) - 1
@@ -123,269 +188,286 @@ def tokens(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.
     inner[ends] = False
     out[inner] = hashes.of([w for x in lists for w in x])
     out[ends] = END
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[np.concatenate([[0], ends[:-1] + 1])] = START
-    return out, before, sizes
+    return token(out), sizes
 
 
-def gathered(docs: DataFrame, buckets: int, text_col: str) -> DataFrame:
-    """(kind, bucket, data): sums over the whole input, a row a bucket. Of bigrams the region of their counts, and how many each history has."""
+@dataclass
+class Chunk:
+    """Texts as numbers: known is all their tokens with the start and the end, in order; at, which of them each token is."""
 
-    @tidy
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), {UNI: [], BI: []}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for kind, parts in held.items():
-                if not parts:
-                    continue
-                keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                parts.clear()
-                order, full = dealt(keys, buckets)
-                full = {b: np.sort(order[at]) for b, at in full.items()}
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(full), pa.int32()), pa.array(list(full), pa.int32()), pa.array([packed(keys[at], counts[at]) for at in full.values()], pa.binary())], ["kind", "bucket", "data"])
-
-        n = 0
-        for whole in batches:
-            for batch in slices(whole, text_col):
-                word, before, _ = tokens(batch.column(text_col).to_pylist(), hashes)
-                which, distinct = pd.factorize(word)
-                held[UNI].append((distinct, np.bincount(which, minlength=len(distinct)).astype(np.uint64)))
-                held[BI].append((bigrams(before, word), np.ones(len(word), np.uint64)))
-                n += len(word)
-                if n > GATHERED:
-                    yield from out()
-                    n = 0
-        yield from out()
-
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        kind = int(part["kind"].iloc[0])
-        keys, counts = summed(*(np.concatenate(x) for x in zip(*map(unpacked, part["data"]), strict=True)))
-        if kind != BI:
-            return pd.DataFrame({"kind": [kind], "bucket": part["bucket"].iloc[:1], "data": [packed(keys, counts)]})
-        after, sums = summed(keys & HIGH, np.ones_like(counts))
-        where = bucket_of(after, buckets)
-        rows = [(BI, int(part["bucket"].iloc[0]), Filter.region(lookups(keys), quantised(counts)))] + [(AFTER, int(b), packed(after[where == b], sums[where == b])) for b in np.unique(where)]
-        return pd.DataFrame(rows, columns=["kind", "bucket", "data"])
-
-    schema = "kind int, bucket int, data binary"
-    return written(docs.select(text_col).mapInArrow(count, schema).groupBy("kind", "bucket").applyInPandas(add, schema), "lm-counts")
-
-
-class Filter:
-    """Regions by kind and bucket, laid end to end."""
-
-    def __init__(self, regions: list[tuple[int, int, bytes]], buckets: int):
-        self.buckets = buckets
-        self.start, self.size = np.zeros((3, buckets), np.int64), np.zeros((3, buckets), np.int64)
-        at, parts = 0, []
-        for kind, bucket, bits in sorted(regions):
-            self.start[kind, bucket], self.size[kind, bucket] = at, len(bits) * 8
-            parts.append(np.frombuffer(bits, np.uint8))
-            at += len(bits) * 8
-        self.bits = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+    known: np.ndarray
+    at: np.ndarray
+    sizes: np.ndarray
 
-    @staticmethod
-    def hashed(keys: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a = mix64(keys + np.asarray(level, np.uint64) * C1)
-        return a, (a * C2) | np.uint64(1)
+    @classmethod
+    def of(cls, found: np.ndarray, sizes: np.ndarray) -> Chunk:
+        which, distinct = pd.factorize(found)
+        known = np.unique(np.concatenate([distinct, np.array([START_G, END_G], np.uint64)]))
+        return cls(known, np.searchsorted(known, distinct)[which], sizes)
 
-    @staticmethod
-    def region(keys: np.ndarray, levels: np.ndarray) -> bytes:
-        """The bits of one bucket: each key at each level up to its own."""
-        keys = np.repeat(keys, levels)
-        nth = np.arange(len(keys)) - np.repeat(np.cumsum(levels) - levels, levels) + 1
-        bits = np.zeros(max(8, -(-len(keys) * BITS // 8) * 8), bool)
-        a, step = Filter.hashed(keys, nth)
-        for _ in range(PROBES):
-            bits[part_of(a, len(bits)).astype(np.int64)] = True
-            a = a + step
-        return np.packbits(bits, bitorder="little").tobytes()
+    def packed(self) -> bytes:
+        return packed(steps(self.known), self.at.astype(np.uint32), self.sizes.astype(np.uint32))
 
-    def levels(self, kind: int, keys: np.ndarray, bucket: int | None = None) -> np.ndarray:
-        """Of keys of any bucket, or all of the given one."""
-        out = np.zeros(len(keys), np.int64)
-        bucket = bucket_of(keys, self.buckets) if bucket is None else np.full(len(keys), bucket)
-        start, size = self.start[kind, bucket], self.size[kind, bucket]
-        live = np.flatnonzero(size > 0)
-        for level in range(1, LEVELS + 1):
-            a, step = self.hashed(keys[live], level)
-            for _ in range(PROBES):
-                at = start[live] + part_of(a, size[live]).astype(np.int64)
-                on = np.flatnonzero((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-                live, a, step = live[on], a[on], step[on]
-                if not len(live):
-                    return out
-                a = a + step
-            out[live] = level
-        return out
+    @classmethod
+    def unpacked(cls, data: bytes) -> Chunk:
+        known, at, sizes = unpacked(data, np.uint64, np.uint32, np.uint32)
+        return cls(np.cumsum(known, dtype=np.uint64), at.astype(np.int64), sizes.astype(np.int64))
 
-    def counts(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        return expected(self.levels(kind, keys))
+    def first(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
 
+    def place(self, g: int) -> int:
+        return int(np.searchsorted(self.known, np.uint64(g)))
 
-def needed(which: np.ndarray, distinct: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Of a chunk's tokens: which of its bigrams each makes, and the n-grams of each kind whose counts scoring needs."""
-    pair, pairs = pd.factorize(bigrams(before, distinct[which]))
-    return pair, {UNI: distinct, BI: pairs, AFTER: np.append(distinct, START) & HIGH}
+    def pairs(self) -> np.ndarray:
+        """A number for each token and what stands before it."""
+        before = np.roll(self.at, 1)
+        before[self.first()] = self.place(START_G)
+        return before * len(self.known) + self.at
 
 
-def stood(which: np.ndarray, distinct: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """What stands before each token: the start of a text before its first."""
-    before = np.roll(distinct[which], 1)
-    before[np.cumsum(sizes) - sizes] = START
-    return before
+def chunked(rows: DataFrame) -> DataFrame:
+    """(chunk, ids, held, train, top, data): rows (doc_id, held_out, text) in chunks of about CHUNK tokens. train: tokens of
+    rows that aren't held out; top: those that are at least one in HOT / 2 of them."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    top = pa.list_(pa.struct([("g", pa.int64()), ("n", pa.int64())]))
 
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, nth, n = WordHashes(), [], TaskContext.get().partitionId() << 33, 0
+
+        def out() -> pa.RecordBatch:
+            c = Chunk.of(*(np.concatenate([x[i] for x in held]) for i in (0, 1)))
+            ids, out = (pa.concat_arrays([x[i] for x in held]) for i in (2, 3))
+            learned = ~out.to_numpy(zero_copy_only=False)
+            counts = np.bincount(c.at[np.repeat(learned, c.sizes)], minlength=len(c.known))
+            counts[c.place(START_G)], counts[c.place(END_G)] = learned.sum(), 0
+            train = int(c.sizes[learned].sum())
+            often = np.flatnonzero(counts * (HOT // 2) >= max(1, train))
+            often = [{"g": g, "n": m} for g, m in zip(c.known[often].view(np.int64).tolist(), counts[often].tolist(), strict=True)]
+            held.clear()
+            whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.RecordBatch.from_arrays([pa.array([nth], pa.int64()), whole(ids), whole(out), pa.array([train], pa.int64()), pa.array([often], top), pa.array([c.packed()], pa.binary())], ["chunk", "ids", "held", "train", "top", "data"])
 
-def answered(asked: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, kind, bucket, data) with the levels of n-grams in place of n-grams, in the same order."""
+        for big in batches:
+            for batch in slices(big, "text"):
+                held.append((*tokens(batch.column("text").to_pylist(), hashes), batch.column("doc_id"), batch.column("held_out")))
+                n += len(held[-1][0])
+                if n >= CHUNK:
+                    yield out()
+                    nth, n = nth + 1, 0
+        if held:
+            yield out()
+
+    return written(rows.mapInArrow(run, f"chunk long, ids array<{kind}>, held array<boolean>, train long, top array<struct<g:long,n:long>>, data binary"), "lm-chunks")
 
-    def answer(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        if not len(ask):
-            return pd.DataFrame({"chunk": [], "kind": [], "bucket": [], "data": []})
-        kind, bucket, regions = int(ask["kind"].iloc[0]), int(ask["bucket"].iloc[0]), []
-        if kind == BI:
-            regions += [(kind, bucket, data) for data in have["data"]]
-        elif len(have):
-            keys, n = summed(*(np.concatenate(x) for x in zip(*map(unpacked, have["data"]), strict=True)))
-            regions.append((kind, bucket, Filter.region(lookups(keys), quantised(n))))
-        parts = [unpacked_keys(x) for x in ask["data"]]
-        which, distinct = pd.factorize(np.concatenate(parts))
-        levels = Filter(regions, buckets).levels(kind, distinct, bucket).astype(np.uint8)[which]
-        ends = np.cumsum([len(x) for x in parts])
-        return ask.assign(data=[zlib.compress(x.tobytes(), 1) for x in np.split(levels, ends[:-1])])
 
-    schema = "chunk long, kind int, bucket int, data binary"
-    return asked.groupBy("kind", "bucket").cogroup(counts.groupBy("kind", "bucket")).applyInPandas(answer, schema)
+def counted(chunks: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, region, words, spread, distinct, mass): the filter, and beside it the exact counts of words, which the base score
+    asks for; spread: sums of the hot histories' part in the bucket. A row a bucket that has any."""
+
+    @tidy
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for held, data in zip(batch.column("held"), batch.column("data"), strict=True):
+                c = Chunk.unpacked(data.as_py())
+                learned = ~held.values.to_numpy(zero_copy_only=False)
+                pairs, n = np.unique(c.pairs()[np.repeat(learned, c.sizes)], return_counts=True)
+                history, word = np.divmod(pairs, len(c.known))
+                follower = (c.known[word] & LOW).astype(np.uint32)
+                bucket = bucket_of(c.known[history], follower, hot, buckets)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                rows = []
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    at = order[cuts[b] : cuts[b + 1]]
+                    own, many = np.unique(history[at], return_counts=True)
+                    rows.append((b, packed(steps(c.known[own]), many.astype(np.uint32), n[at].astype(np.uint32)), follower[at].tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "run", "followers"])
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        runs = [unpacked(x, np.uint64, np.uint32, np.uint32) for x in part["run"]]
+        owns = [np.cumsum(g, dtype=np.uint64) for g, _, _ in runs]
+        history = np.unique(np.concatenate(owns))
+        keys = np.concatenate([np.repeat(np.searchsorted(history, own), many).astype(np.uint64) << np.uint64(32) for own, (_, many, _) in zip(owns, runs, strict=True)])
+        keys |= np.concatenate([np.frombuffer(x, np.uint32) for x in part["followers"]]).astype(np.uint64)
+        counts = np.concatenate([n for _, _, n in runs]).astype(np.int64)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, counts = keys[first], np.add.reduceat(counts, first)
+        own, level = (keys >> np.uint64(32)).astype(np.int64), quantised(counts)
+        total, mass, after = (np.bincount(own, x, len(history)) for x in (counts, EXPECTED[level], None))
+        cold = ~np.isin(history, hot)
+        items = [chain(pair_keys(history[own], (keys & LOW).astype(np.uint32)), level), chain(kind_keys(history[cold], OWN), quantised(total[cold]))]
+        items += valued(kind_keys(history[cold], MASS), mass[cold]) + valued(kind_keys(history[cold], AFTER), after[cold].astype(float))
+        spread = packed(history[~cold], total[~cold], mass[~cold], after[~cold].astype(float))
+        words = packed(steps(history[cold]), total[cold].astype(np.int64))
+        return pd.DataFrame({"bucket": part["bucket"].iloc[:1], "region": [Region.made(items)], "words": [words], "spread": [spread], "distinct": [int(cold.sum())], "mass": [float(EXPECTED[quantised(total[cold])].sum())]})
+
+    runs = chunks.where("train > 0").select("held", "data").mapInArrow(count, "bucket int, run binary, followers binary")
+    return written(runs.groupBy("bucket").applyInPandas(merge, "bucket int, region binary, words binary, spread binary, distinct long, mass double"), "lm-regions")
+
+
+@dataclass
+class Asked:
+    """What a chunk asks each bucket: entries (a history and how many of its bigrams come next), and those bigrams' followers."""
+
+    pair: np.ndarray  # of each token: which bigram
+    order: np.ndarray  # bigrams in the order that they are asked
+    entry: np.ndarray  # bucket * tokens + history, in order
+    many: np.ndarray
+    follower: np.ndarray  # in order
+    cuts: np.ndarray  # of the entries by bucket
+
+    @classmethod
+    def of(cls, c: Chunk, hot: np.ndarray, buckets: int) -> Asked:
+        pair, pairs = pd.factorize(c.pairs())
+        history, word = np.divmod(pairs, len(c.known))
+        follower = (c.known[word] & LOW).astype(np.uint32)
+        of_pair = bucket_of(c.known[history], follower, hot, buckets) * len(c.known) + history
+        cold = np.flatnonzero(~np.isin(c.known, hot))
+        entry = np.unique(np.concatenate([of_pair, part_of(c.known[cold], buckets).astype(np.int64) * len(c.known) + cold]))
+        order = np.argsort(of_pair, kind="stable")
+        many = np.bincount(np.searchsorted(entry, of_pair), minlength=len(entry))
+        return cls(pair, order, entry, many, follower[order], np.searchsorted(entry, np.arange(buckets + 1) * len(c.known)))
+
+
+def answered(chunks: DataFrame, regions: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+    """(chunk, bucket, entries, levels): of each entry the exact count and what the filter has of the history, of bigrams their levels."""
 
+    @tidy
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+                c = Chunk.unpacked(data.as_py())
+                a = Asked.of(c, hot, buckets)
+                ends, rows = np.concatenate([[0], np.cumsum(a.many)]), []
+                for b in np.flatnonzero(np.diff(a.cuts)).tolist():
+                    at = slice(a.cuts[b], a.cuts[b + 1])
+                    rows.append((chunk, b, packed(steps(c.known[a.entry[at] % len(c.known)]), a.many[at].astype(np.uint32)), a.follower[ends[at.start] : ends[at.stop]].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "bucket", "asked", "followers"])
 
-def free(spark: SparkSession) -> None:
-    """Shuffles that nothing refers to any more lose their files once the JVM collects its garbage: have it do so now."""
-    spark.sparkContext._jvm.System.gc()
+    def answer(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        if not len(ask):
+            return pd.DataFrame({"chunk": [], "bucket": [], "entries": [], "levels": []})
+        region = Region(have["region"].iloc[0] if len(have) else b"")
+        words, counts = unpacked(have["words"].iloc[0], np.uint64, np.int64) if len(have) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        words = np.cumsum(words, dtype=np.uint64)
+        parts = [unpacked(x, np.uint64, np.uint32) for x in ask["asked"]]
+        owns = [np.cumsum(g, dtype=np.uint64) for g, _ in parts]
+        which, known = pd.factorize(np.concatenate(owns))
+        at = np.minimum(np.searchsorted(words, known), max(0, len(words) - 1))
+        exact = np.where(words[at] == known, counts[at], 0) if len(words) else np.zeros(len(known), np.int64)
+        level = region.levels(kind_keys(known, OWN))
+        mass, after = (region.values(kind_keys(known, kind)).astype(np.float32) for kind in (MASS, AFTER))
+        keys = np.concatenate([pair_keys(np.repeat(own, many), np.frombuffer(x, np.uint32)) for own, (_, many), x in zip(owns, parts, ask["followers"], strict=True)])
+        same, distinct = pd.factorize(keys)
+        found = region.levels(distinct)[same]
+        ends = np.cumsum([len(x) for x in owns])
+        bigrams = np.cumsum([len(x) // 4 for x in ask["followers"]])
+        entries = [packed(exact[i], level[i], mass[i], after[i]) for i in np.split(which, ends[:-1])]
+        return pd.DataFrame({"chunk": ask["chunk"], "bucket": ask["bucket"], "entries": entries, "levels": [zlib.compress(x.tobytes(), 1) for x in np.split(found, bigrams[:-1])]})
+
+    asked = chunks.select("chunk", "data").mapInArrow(ask, "chunk long, bucket int, asked binary, followers binary")
+    both = asked.groupBy("bucket").cogroup(regions.select("bucket", "region", "words").groupBy("bucket"))
+    return written(both.applyInPandas(answer, "chunk long, bucket int, entries binary, levels binary"), "lm-levels")
+
+
+@dataclass
+class Totals:
+    """N, V, the sum of the words' quantised counts, and the hot histories' sums: history, count, mass, after."""
+
+    n: int
+    v: int
+    mass: float
+    hot: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+    @classmethod
+    def of(cls, n: int, regions: DataFrame) -> Totals:
+        """The hot histories' parts are summed here: HOT of them at most, in a part a bucket that one falls on."""
+        v, mass = regions.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("mass"), F.lit(0.0))).first()
+
+        def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for data in part["spread"]:
+                    g, total, mass, after = unpacked(data, np.uint64, float, float, float)
+                    yield pd.DataFrame({"g": g.view(np.int64), "c": total, "m": mass, "t": after})
+
+        found = regions.select("spread").mapInPandas(split, "g long, c double, m double, t double").groupBy("g").agg(F.sum("c"), F.sum("m"), F.sum("t")).collect()
+        hot = np.array([tuple(r)[1:] for r in found], float).reshape(-1, 3)
+        digits = lambda x: (lambda level, d: 2.0 ** (level - 1) * (1 + d / 2**DIGITS))(*rounded(x)) if len(x) else x
+        return cls(n, v + len(hot), mass + float(EXPECTED[quantised(hot[:, 0])].sum()), (np.array([r["g"] for r in found], np.int64).view(np.uint64), hot[:, 0], digits(hot[:, 1]), digits(hot[:, 2])))
+
+
+def probabilities(c: Chunk, a: Asked, exact: np.ndarray, level: np.ndarray, mass: np.ndarray, after: np.ndarray, bigram: np.ndarray, t: Totals) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token: its exact count, and the model's probability.
+
+    (c(hw) + (t(h) + 1) p(w)) / (m(h) + t(h) + 1) with p(w) = (c(w) + 1) / (M + V + 1): m(h) is the sum of the history's c(hw),
+    M that of all c(w), each as the filter has it, so that the probabilities after a history add up to 1.
+    """
+    whole, own = a.entry % len(c.known), np.zeros((4, len(c.known)))
+    cold = ~np.isin(c.known[whole], t.hot[0])
+    for row, x in zip(own, (exact, EXPECTED[level], mass, after), strict=True):
+        row[whole[cold]] = x[cold]
+    if len(t.hot[0]):
+        order = np.argsort(t.hot[0])
+        there = np.flatnonzero(np.isin(c.known, t.hot[0]))
+        at = order[np.searchsorted(t.hot[0][order], c.known[there])]
+        own[:, there] = t.hot[1][at], EXPECTED[quantised(t.hot[1][at])], t.hot[2][at], t.hot[3][at]
+    start, end = c.place(START_G), c.place(END_G)
+    own[:2, end] = own[:2, start]  # as many ends as starts
+    counts, word, mass, after = own[0][c.at], own[1][c.at], *(x[np.where(first_of(c), start, np.roll(c.at, 1))] for x in own[2:])
+    levels = np.empty(len(a.order), np.int64)
+    levels[a.order] = bigram
+    both = np.minimum(EXPECTED[levels[a.pair]], mass)
+    return counts, (both + (after + 1) * (word + 1) / (t.mass + t.v + 1)) / (mass + after + 1)
+
+
+def first_of(c: Chunk) -> np.ndarray:
+    out = np.zeros(len(c.at), bool)
+    out[c.first()] = True
+    return out
 
 
 def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row a document.
 
-    The model learns from rows where held_out (a column) is false. score sums log10 of (c(hw) + (t(h) + 1) p(w)) /
-    (c(h) + t(h) + 1): counts as the filter has them, t(h) how many different tokens come after h, p(w) = (c(w) + 1) / (N + V + 1).
-    base_score has exact counts throughout: those of the HEAD most frequent words are broadcast, all others are joined.
-    Null and empty texts have the end as their only token. Null ids: held_out false if the column says so, else as false.
-    Repeated rows are rows of their own. No training rows: N and V are 0 and every probability is 1. Words are told apart
-    by 64-bit hashes.
+    The model learns from rows where held_out (a column) is false, from all their words and pairs. score is the sum of log10
+    of `probabilities`; base_score has exact counts throughout. Null and empty texts have the end as their only token. Null
+    ids: held_out false if the column says so, else as false. Repeated rows are rows of their own. No training rows: N and V
+    are 0 and every probability is 1. Words are told apart by 64-bit hashes. Other columns play no part.
     """
-    spark = docs.sparkSession
-    lean(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    buckets = max(8, 2 * rows.rdd.getNumPartitions())
-    counts = gathered(rows.where("NOT held_out"), buckets, "text")
-    free(spark)
-
-    def words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for data in part["data"]:
-                keys, n = unpacked(data)
-                yield pd.DataFrame({"h": keys.view(np.int64), "c": n.astype(np.int64)})
-
-    known = written(counts.where(f"kind = {UNI}").select("data").mapInPandas(words, "h long, c long"), "lm-words")
-    n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    texts = (known.where(F.col("h") == int(END.view(np.int64))).agg(F.max("c")).first()[0]) or 0
-
-    # The most frequent words by classes of counts, as many classes as HEAD words hold.
-    level = F.floor(F.log2("c") * 4)
-    room, least = HEAD, None
-    for r in sorted(known.groupBy(level.alias("level")).count().collect(), reverse=True):
-        if (room := room - r["count"]) < 0:
-            break
-        least = r["level"]
-    head = known.where(level >= least if least is not None else F.lit(False)).toPandas().sort_values("h")
-    shared = spark.sparkContext.broadcast((head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64)))
-    whole = n + v + 1
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"row long, kind int, bucket int, data binary, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, tail array<long>, times array<long>"
-    types = to_arrow_schema(StructType.fromDDL(schema))
-
-    @tidy
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (names, often), row = WordHashes(), shared.value, TaskContext.get().partitionId() << 33
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def rows_of(n: int, **columns) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in types], schema=types)
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            word, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            chunk = row - len(sizes)
-            which, distinct = pd.factorize(word)
-            yield rows_of(1, row=[chunk], kind=[TOKENS], data=[packed_tokens(which, distinct, sizes)])
-            for kind, keys in needed(which, distinct, stood(which, distinct, sizes))[1].items():
-                order, full = dealt(keys, buckets)
-                found = lookups(keys[order])
-                yield rows_of(len(full), row=[chunk] * len(full), kind=[kind] * len(full), bucket=list(full), data=[packed_keys(found[at]) for at in full.values()])
-
-        for big in batches:
-            for batch in slices(big, "text"):
-                word, _, sizes = tokens(batch.column("text").to_pylist(), hashes)
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                which, distinct = pd.factorize(word.view(np.int64))
-                at = np.minimum(np.searchsorted(names, distinct), max(0, len(names) - 1))
-                hit = names[at] == distinct if len(names) else np.zeros(len(distinct), bool)
-                log = np.where(hit, np.log10((np.where(hit, often[at] if len(names) else 0, 0) + 1) / whole), 0.0)
-                rest = np.flatnonzero(~hit[which])
-                pairs, times = np.unique(doc[rest] * len(distinct) + which[rest], return_counts=True)
-                tail_doc, tail = pairs // len(distinct), distinct[pairs % len(distinct)]
-                ends = np.searchsorted(tail_doc, np.arange(len(sizes) + 1)).astype(np.int32)
-                add = lambda x: np.bincount(doc, x, len(sizes))
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int64)))
-                columns = {"row": np.arange(row, row + len(sizes)), "kind": [TEXT] * len(sizes), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": sizes, "known": add(hit[which]).astype(np.int64), "base": add(log[which])}
-                made = rows_of(len(sizes), **columns)
-                yield made.set_column(9, types.field("tail"), lists(tail).cast(types.field("tail").type)).set_column(10, types.field("times"), lists(times).cast(types.field("times").type))
-                row += len(sizes)
-                held.append((word, sizes))
-                if sum(len(x) for x, _ in held) > CHUNK:
-                    yield from out()
-        yield from out()
-
-    asked = written(rows.mapInArrow(ask, schema), "lm-asked")
-    levels = written(answered(asked.where(f"kind >= {UNI}").select(F.col("row").alias("chunk"), "kind", "bucket", "data"), counts, buckets), "lm-levels")
-    free(spark)
-
-    def score(chunk: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        which, distinct, sizes = unpacked_tokens(chunk["data"].iloc[0])
-        before = stood(which, distinct, sizes)
-        pair, keys = needed(which, distinct, before)
-        count = {}
-        for kind, x in keys.items():
-            own = found[found["kind"] == kind].sort_values("bucket")
-            count[kind] = np.empty(len(x))
-            count[kind][dealt(x, buckets)[0]] = expected(np.frombuffer(b"".join(map(zlib.decompress, own["data"])), np.uint8).astype(np.int64))
-        first = np.cumsum(sizes) - sizes
-        c_word = count[UNI][which]
-        c_before, after = np.roll(c_word, 1), np.roll(count[AFTER][which], 1)
-        c_before[first], after[first] = texts, count[AFTER][-1]
-        after = np.minimum(after, c_before)
-        both = np.minimum(count[BI][pair], c_before)
-        p = np.minimum(1.0, (both + (after + 1) * (c_word + 1) / whole) / (c_before + after + 1))
-        at = int(chunk["chunk"].iloc[0])
-        return pd.DataFrame({"row": np.arange(at, at + len(sizes)), "score": np.add.reduceat(np.log10(p), first)})
-
-    chunks = asked.where(f"kind = {TOKENS}").select(F.col("row").alias("chunk"), "data")
-    scores = written(chunks.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInPandas(score, "row long, score double"), "lm-scores")
-    free(spark)
-    out = asked.where(f"kind = {TEXT}").drop("kind", "bucket", "data")
-    tails = out.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("h"), F.col("x.times").alias("times"))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    tails = tails.join(known.hint("merge"), "h", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(whole)))).alias("tail_base"))
-    out = out.join(tails, "row", "left").join(scores.hint("merge"), "row")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"), "score")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    chunks = chunked(rows)
+    n = chunks.agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
+    buckets = max(LEAST_BUCKETS, n // BUCKET)
+    often = chunks.select(F.explode("top").alias("x")).groupBy("x.g").agg(F.sum("x.n").alias("n")).where(F.col("n") * HOT > n)
+    hot = np.sort(np.array([r["g"] for r in often.collect()], np.int64).view(np.uint64))  # less than HOT
+    regions = counted(chunks, hot, buckets)
+    totals = Totals.of(n, regions)
+    levels = answered(chunks, regions, hot, buckets)
+    discard(regions)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def score(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        c = Chunk.unpacked(chunk.column("data")[0].as_py())
+        a = Asked.of(c, hot, buckets)
+        found = found.sort_by("bucket")
+        exact, level, mass, after = (np.concatenate(x) for x in zip(*(unpacked(x.as_py(), np.int64, np.uint8, np.float32, np.float32) for x in found.column("entries")), strict=True))
+        bigram = np.frombuffer(b"".join(zlib.decompress(x.as_py()) for x in found.column("levels")), np.uint8)
+        counts, p = probabilities(c, a, exact, level, mass.astype(float), after.astype(float), bigram, totals)
+        add = lambda x: np.add.reduceat(x, c.first())
+        base = np.log10((counts + 1) / (totals.n + totals.v + 1))
+        whole = [pa.array(x) for x in (c.sizes, add((counts > 0).astype(np.int64)), np.full(len(c.sizes), totals.n, np.int64), add(base), add(np.log10(p)))]
+        return pa.table([chunk.column("ids").combine_chunks().flatten(), chunk.column("held").combine_chunks().flatten(), *whole], names)
+
+    both = chunks.select("chunk", "ids", "held", "data").groupBy("chunk").cogroup(levels.groupBy("chunk"))
+    return both.applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scored(docs, crc_mod(F.col("doc_id"), 7) == 2)
-

@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import lean, slices, table, tidy
+from .common import slices, table, tidy
 
 #: Field types and their sizes; tags; compression codes. Fixed values of the format.
 TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4)}
@@ -275,7 +275,6 @@ def tiff_pages(files: DataFrame, column: str = "data") -> DataFrame:
     Null, empty or broken files: one row with the error and null pixels, after the pages that could be read. The files' own
     columns of those names are dropped.
     """
-    lean(files.sparkSession)
     names = PAGE.replace(",", "").split()[::2]
     kept = [c for c in files.columns if c != column and c not in names]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in files.select(*kept).schema) + PAGE

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, lean, mix64, slices, table, tidy, written
+from .common import WordHashes, mix64, slices, table, tidy, written
 from .components import components
 
 #: Cells of the table of counts, the same for any input; they are summed in blocks, so many tables at a time.
@@ -123,7 +123,6 @@ class Join:
 
     def __init__(self, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str):
         self.docs, self.n, self.num, self.den, self.id_col, self.text_col = docs, n, num, den, id_col, text_col
-        lean(docs.sparkSession)
         counts = counted(docs, n, text_col)
         self.rows = written(described(docs, counts, n, num, den, id_col, text_col), "join-rows")
         one = self.rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", *PARITY, "prefix")))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import lean, slices, table, tidy
+from .common import slices, table, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("ssn", "iban")
@@ -289,7 +289,6 @@ def scrubbed(docs: DataFrame, text_col: str = "text", spans_col: str = "pii", di
     without spans. Rows are kept one for one; texts of any length are read whole, in code points. Columns of the added names
     are replaced.
     """
-    lean(docs.sparkSession)
     spans_type = f"`{spans_col}` array<struct<kind:string,start:int,end:int>>"
     added = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" if digests else spans_type
     names = [*added.split()[::2], text_col] if digests else [spans_col]

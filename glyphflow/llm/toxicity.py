@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, lean, slices, table, tidy
+from .common import crc_mod, slices, table, tidy
 
 #: Labelled rows that the model is fitted on at most: toxic and clean, those of least hash. Documented bounds.
 MOST_TOXIC, MOST_CLEAN, MOST_TERMS = 2_000, 6_000, 1_000
@@ -234,7 +234,6 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     Null and empty texts have the score of a text without finds. Rows are kept one for one, and texts read whole. A column
     of the score's name is replaced.
     """
-    lean(docs.sparkSession)
     kept = [c for c in docs.columns if c != score_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_TERMS bound it
 

@@ -37,20 +37,78 @@ def test_lm_base_score_is_exact_and_the_model_beats_it(docs, rows):
     assert sum(r.score for r in got if not r.held_out) > sum(r.base_score for r in got if not r.held_out)
 
 
-def test_lm_tail_words_are_joined(docs, monkeypatch):
-    whole = {(r.doc_id, r.n_tokens): r for r in lm.scored(docs, F.lit(False)).collect()}
-    monkeypatch.setattr(lm, "HEAD", 3)
-    for r in lm.scored(docs, F.lit(False)).collect():
-        assert r.n_known == r.n_tokens == whole[r.doc_id, r.n_tokens].n_known
-        assert r.base_score == pytest.approx(whole[r.doc_id, r.n_tokens].base_score)
-
-
-def test_lm_broadcasts_do_not_grow_with_the_ngrams(docs, monkeypatch):
-    sent, send = [], docs.sparkSession.sparkContext.broadcast
-    monkeypatch.setattr(docs.sparkSession.sparkContext, "broadcast", lambda x: sent.append(len(pickle.dumps(x))) or send(x))
-    monkeypatch.setattr(lm, "HEAD", 3)
-    lm.scored(docs, F.lit(False)).collect()
-    assert max(sent) < 1000
+def test_lm_hot_histories_are_spread_and_score_alike(docs, monkeypatch):
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.base_score)
+    whole = sorted(lm.scored(docs, F.lit(False)).collect(), key=key)
+    monkeypatch.setattr(lm, "HOT", 10**9)
+    spread = sorted(lm.scored(docs, F.lit(False)).collect(), key=key)
+    for r, s in zip(spread, whole, strict=True):
+        assert (r.doc_id, r.n_known, r.base_score) == (s.doc_id, s.n_known, pytest.approx(s.base_score))
+        assert r.score == pytest.approx(s.score, rel=0.03, abs=1.5)  # another region answers wrongly for other pairs
+    assert sum(r.score for r in spread) == pytest.approx(sum(r.score for r in whole), rel=0.01)
+
+
+def test_lm_small_chunks_score_alike(docs, monkeypatch):
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.base_score, r.score)
+    whole = sorted(lm.scored(docs, F.lit(False)).collect(), key=key)
+    monkeypatch.setattr(lm, "CHUNK", 100)
+    for r, s in zip(sorted(lm.scored(docs, F.lit(False)).collect(), key=key), whole, strict=True):
+        assert tuple(r)[:5] == tuple(s)[:5] and tuple(r)[5:] == pytest.approx(tuple(s)[5:])
+
+
+def lm_model(df):
+    chunks = lm.chunked(df.selectExpr("doc_id", "false AS held_out", "text"))
+    n = chunks.agg(F.sum("train")).first()[0]
+    none = np.zeros(0, np.uint64)
+    regions = lm.counted(chunks, none, 8)
+    return regions, lm.Totals.of(n, regions)
+
+
+def lm_probabilities(spark, regions, totals, texts):
+    """Of each text, those of its tokens."""
+    none = np.zeros(0, np.uint64)
+    chunks = lm.chunked(spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string").coalesce(1))
+    (row,), levels = chunks.collect(), sorted(lm.answered(chunks, regions, none, 8).collect(), key=lambda r: r.bucket)
+    c = lm.Chunk.unpacked(row.data)
+    parts = [lm.unpacked(r.entries, np.int64, np.uint8, np.float32, np.float32) for r in levels]
+    exact, level, mass, after = (np.concatenate(x) for x in zip(*parts, strict=True))
+    bigram = np.frombuffer(b"".join(zlib.decompress(r.levels) for r in levels), np.uint8)
+    p = lm.probabilities(c, lm.Asked.of(c, none, 8), exact, level, mass, after, bigram, totals)[1]
+    return {i: x for i, x in zip(row.ids, np.split(p, np.cumsum(c.sizes)[:-1]), strict=True)}
+
+
+def zipf_texts():
+    r = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(300)]
+    share = 1 / np.arange(1, 301)
+    return vocabulary, [" ".join(r.choice(vocabulary, r.integers(1, 200), p=share / share.sum())) for _ in range(150)]
+
+
+def test_lm_probabilities_add_up_to_one(spark):
+    vocabulary, texts = zipf_texts()
+    regions, totals = lm_model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    asked = [" ".join(f"{h} {w}" for w in [*vocabulary, "unknown"]) + f" {h}" for h in [*vocabulary[:30], *vocabulary[-30:], "unknown"]]
+    sums = [p[1::2].sum() for p in lm_probabilities(spark, regions, totals, asked).values()]  # the end is the last after h
+    assert len(sums) == 61 and np.mean(np.abs(np.array(sums) - 1) < 0.01) > 0.9  # else a wrong answer of the filter
+
+
+def test_lm_scores_are_near_those_of_exact_counts(spark):
+    _, texts = zipf_texts()
+    regions, totals = lm_model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    before, pair, word, after = Counter(), Counter(), Counter(), defaultdict(set)
+    for t in texts:
+        w = ["<s>", *t.split(), "</s>"]
+        for a, b in zip(w, w[1:], strict=False):
+            before[a] += 1
+            pair[a, b] += 1
+            word[b] += 1
+            after[a].add(b)
+    n, v = sum(word.values()), len(word)
+    exact = lambda a, b: (pair[a, b] + (len(after[a]) + 1) * (word[b] + 1) / (n + v + 1)) / (before[a] + len(after[a]) + 1)
+    for i, p in lm_probabilities(spark, regions, totals, texts[:40]).items():
+        w = ["<s>", *texts[i].split(), "</s>"]
+        slow = np.log10([exact(a, b) for a, b in zip(w, w[1:], strict=False)])
+        assert len(p) == len(slow) and abs(np.log10(p) - slow).mean() < 0.1 and abs(np.log10(p).sum() - slow.sum()) < 0.03 * abs(slow.sum())
 
 
 def test_lm_knows_pairs_seen_once(spark):
@@ -64,22 +122,30 @@ def test_lm_empty_and_untrained(docs, empty):
     assert {(r.n_known, r.train_tokens, r.base_score) for r in lm.scored(docs, F.lit(True)).collect()} == {(0, 0, 0.0)}
 
 
-def test_filter_holds_counts_within_their_level():
+def test_regions_hold_counts_and_sums():
     r = np.random.default_rng(1)
-    keys, counts = np.unique(r.integers(0, 2**63, 5000, dtype=np.uint64)), None
-    counts = r.integers(1, 1000, len(keys)).astype(np.uint64)
-    where = lm.bucket_of(keys, 8)
-    f = lm.Filter([(lm.UNI, b, lm.Filter.region(keys[where == b], lm.quantised(counts[where == b]))) for b in range(8)], 8)
-    levels = f.levels(lm.UNI, keys)
+    keys = np.unique(r.integers(0, 2**63, 5000, dtype=np.uint64))
+    counts = r.integers(1, 1000, len(keys))
+    region = lm.Region(lm.Region.made([lm.chain(keys, lm.quantised(counts))] + lm.valued(lm.mix64(keys), counts + 0.25)))
+    levels = region.levels(keys)
     assert (levels >= lm.quantised(counts)).all() and (levels == lm.quantised(counts)).mean() > 0.98
-    assert (f.levels(lm.UNI, r.integers(0, 2**63, 5000, dtype=np.uint64)) > 0).mean() < 0.02
-    assert (f.levels(lm.BI, keys) == 0).all()
+    assert (region.levels(r.integers(0, 2**63, 5000, dtype=np.uint64)) > 0).mean() < 0.02
+    assert np.mean(np.abs(region.values(lm.mix64(keys)) / (counts + 0.25) - 1) < 0.005) > 0.95
+    assert (lm.Region(b"").levels(keys) == 0).all() and (lm.Region(b"").values(keys) == 0).all()
+
+
+def test_levels_stand_for_means():
+    assert lm.quantised([0, 1, 2, 3, 4, 7, 8]).tolist() == [0, 1, 2, 2, 3, 3, 4]
+    assert lm.EXPECTED[0] == 0 and lm.EXPECTED[1] == 1
+    for q in (2, 3, 6, 12):
+        c = np.arange(2 ** (q - 1), 2**q)
+        assert lm.EXPECTED[q] == pytest.approx((1 / (c + 1)).sum() / (1 / (c * (c + 1.0))).sum())
 
 
-def test_packed_counts_round_trip():
-    keys = np.array([0, 5, 2**64 - 1], np.uint64)
-    got = lm.unpacked(lm.packed(keys, np.array([1, 2**40, 3], np.uint64)))
-    assert got[0].tolist() == keys.tolist() and got[1].tolist() == [1, 2**40, 3]
+def test_packed_arrays_round_trip():
+    a, b = np.array([0, 5, 2**64 - 1], np.uint64), np.array([1.5], np.float32)
+    got = lm.unpacked(lm.packed(lm.steps(a), b, a[:0]), np.uint64, np.float32, np.uint64)
+    assert np.cumsum(got[0], dtype=np.uint64).tolist() == a.tolist() and got[1].tolist() == [1.5] and not len(got[2])
 
 
 # 2
