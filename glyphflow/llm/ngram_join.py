@@ -1,10 +1,10 @@
 """Documents whose sets of word n-grams have at least a given Jaccard similarity.
 
 Equal sets are one vertex. Each set is ordered rare first, by counts of all documents in a table of fixed size, and the n-grams
-of its prefix are the postings that sets meet on. Length and positional filters and, for the suffix, a bitmap of parities that
-bounds the difference from below leave the candidates; each pair is verified once, on whole texts. In a group of copies most
-pairs are linked through others already: neighbours of a posting list are verified first, and only pairs from different
-components go on.
+of its prefix are the postings that sets meet on. Length and positional filters, parities that bound the difference of whole sets
+and the suffix filter, which bounds that of what comes after a common n-gram, leave the candidates; each pair is verified once,
+on whole texts. In a group of copies most pairs are linked through others already: neighbours of a posting list are verified
+first, and only pairs from different components go on.
 """
 
 from __future__ import annotations
@@ -19,18 +19,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, slices, table, tidy, written
+from .common import WordHashes, discard, mix64, slices, table, tidy, written
 from .components import components
 
 #: Cells of the table of counts, the same for any input; they are summed in blocks, so many tables at a time.
 CELL_BITS, BLOCK_BITS, FAN = 22, 16, 64
-#: Parities of 256 bits for the first look at postings, of 1,024 for those that pass it.
-PARITY = tuple(f"p{i}" for i in range(4))
-FINE = tuple(f"q{i}" for i in range(16))
+#: Parities of 512 bits for a whole set; ranges of the order that the suffix filter counts in.
+PARITY = tuple(f"p{i}" for i in range(8))
+RANGES = 32
 #: Postings before each one that are tried before all pairs of what is then still apart.
 NEAR = 16
 #: Rows of a part of a posting list, in which neighbours are looked for; pairs across parts come with all other pairs.
-LIST = 4096
+LIST = 256
 K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,6 +50,33 @@ def shingles(words: list[bytes], n: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(mix64(out + np.uint64(k)))
 
 
+def by_text(order: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The order within each text; 16-bit numbers are sorted by radix."""
+    return order[np.argsort(text[order].astype(np.uint16 if len(text) and text.max() < 1 << 16 else np.int64), kind="stable")]
+
+
+def sets_of(texts: list[str | None], n: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' sets of shingles, each in order, end to end; and which text each shingle is of."""
+    lists = [words_of(t) for t in texts]
+    sizes = np.array([len(x) for x in lists], np.int64)
+    h = hashes.of([w for x in lists for w in x])
+    out, ends = h.copy(), np.cumsum(sizes)
+    for i in range(1, n):
+        out[: max(0, len(out) - i)] = out[: max(0, len(out) - i)] * K + h[i:]
+    text = np.repeat(np.arange(len(texts)), sizes)
+    whole = np.arange(len(h)) + n <= ends[text]
+    out, text = mix64(out[whole] + np.uint64(n)), text[whole]
+    few = np.flatnonzero((sizes > 0) & (sizes < n))  # all their words are one shingle
+    out = np.concatenate([out, *(shingles(lists[i], n, hashes) for i in few)])
+    text = np.concatenate([text, few])
+    order = np.argsort(out)
+    order = by_text(order, text)
+    out, text = out[order], text[order]
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:] != out[:-1]) | (text[1:] != text[:-1])
+    return out[new], text[new]
+
+
 def cells(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
@@ -62,8 +89,7 @@ def counted(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
         hashes, sums = WordHashes(), np.zeros(1 << CELL_BITS, np.uint32)
         for whole in batches:
             for batch in slices(whole, text_col):
-                found = [shingles(words_of(x), n, hashes) for x in batch.column(text_col).to_pylist()]
-                sums += np.bincount(cells(np.concatenate(found)), minlength=1 << CELL_BITS).astype(np.uint32)
+                sums += np.bincount(cells(sets_of(batch.column(text_col).to_pylist(), n, hashes)[0]), minlength=1 << CELL_BITS).astype(np.uint32)
         blocks = sums.reshape(-1, 1 << BLOCK_BITS)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(blocks), pa.int32()), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], ["block", "part", "sums"])
 
@@ -78,44 +104,61 @@ def counted(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
         sums = sums.groupBy("block", F.expr(f"part div {FAN}").alias("to")).applyInPandas(add, "block int, part int, sums binary")
         parts = -(-parts // FAN)
     out = np.zeros((1 << CELL_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.uint32)
-    for row in sums.toLocalIterator():
+    for row in sums.collect():  # so many blocks of so many cells, whatever the input
         out[row["block"]] = np.frombuffer(zlib.decompress(row["sums"]), np.uint32)
     return out.ravel()
 
 
+def pivots(counts: np.ndarray) -> np.ndarray:
+    """Counts that cut all n-grams, in their order, into RANGES of about as many."""
+    c = np.sort(counts[counts > 0])
+    mass = np.cumsum(c, dtype=np.uint64)
+    return np.unique(c[np.searchsorted(mass, mass[-1] / RANGES * np.arange(1, RANGES))]) if len(c) else c
+
+
 def described(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, s1, s2, parities, prefix): s1 and s2 tell sets apart; the parities are of how many n-grams fall on each bit."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(counts)  # CELL_BITS bound it
+    """(doc_id, n, s1, s2, parities, below, prefix): s1 and s2 tell sets apart; the parities are of how many n-grams fall on each
+    bit; below, how many come before each range of the order ends."""
+    shared = docs.sparkSession.sparkContext.broadcast((counts, pivots(counts)))  # CELL_BITS bound it
+    names = ["doc_id", "n", "s1", "s2", *PARITY, "below", "prefix"]
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), shared.value
+        hashes, (counts, cut) = WordHashes(), shared.value
         for whole in batches:
             for batch in slices(whole, text_col):
-                rows = []
-                for text in batch.column(text_col).to_pylist():
-                    h = shingles(words_of(text), n, hashes)
-                    size = len(h)
-                    prefix = h[np.lexsort((h, counts[cells(h)]))[: size - -(-num * size // den) + 1]] if size else h
-                    rows.append((size, *sign(h), *parities(h, 0, PARITY), prefix.view(np.int64)))
-                cols = list(zip(*rows, strict=True))
-                arrays = [pa.array(cols[0], pa.int32())] + [pa.array(np.array(c, np.int64)) for c in cols[1:-1]] + [pa.array(list(cols[-1]), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n", "s1", "s2", *PARITY, "prefix"])
+                rows = batch.num_rows
+                h, text = sets_of(batch.column(text_col).to_pylist(), n, hashes)
+                size = np.bincount(text, minlength=rows)
+                first = np.cumsum(size) - size
+                often = counts[cells(h)]
+                order = np.argsort(often, kind="stable")
+                order = by_text(order, text)
+                taken = np.where(size > 0, size - -(-num * size // den) + 1, 0)
+                prefix = h[order[np.arange(len(h)) - first[text] < taken[text]]]
+                below = np.bincount(text * RANGES + np.searchsorted(cut, often, side="right"), minlength=rows * RANGES).reshape(rows, RANGES)
+                lists = lambda x, sizes, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(x, kind))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id"), pa.array(size, pa.int32()), *map(pa.array, signs(h, text, rows)), *map(pa.array, parities(h, text, rows)),
+                    lists(np.cumsum(below, axis=1).ravel(), np.full(rows, RANGES), pa.int32()), lists(prefix.view(np.int64), taken, pa.int64()),
+                ], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(run, f"doc_id {kind}, n int, s1 long, s2 long, {', '.join(f'{p} long' for p in PARITY)}, prefix array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(run, f"doc_id {kind}, n int, s1 long, s2 long, {', '.join(f'{p} long' for p in PARITY)}, below array<int>, prefix array<long>")
 
 
-def parities(h: np.ndarray, shift: int, names: tuple[str, ...]) -> np.ndarray:
-    """64 bits a name: whether an odd number of hashes fall on each. Sets differ by at least the bits that do."""
-    n = 64 * len(names)
-    odd = np.bincount((h >> np.uint64(shift) & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parities(h: np.ndarray, text: np.ndarray, rows: int) -> np.ndarray:
+    """64 bits a name and text: whether an odd number of hashes fall on each. Sets differ by at least the bits that do."""
+    n = 64 * len(PARITY)
+    odd = np.bincount(text * n + (h & np.uint64(n - 1)).astype(np.int64), minlength=rows * n) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(rows, len(PARITY)).T.copy()
 
 
-def sign(h: np.ndarray) -> tuple[np.int64, np.int64]:
-    return np.uint64(h.sum(dtype=np.uint64)).view(np.int64), np.uint64(mix64(h ^ K).sum(dtype=np.uint64)).view(np.int64)
+def signs(h: np.ndarray, text: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Two sums over each text's set, 64 bits each."""
+    ends = np.cumsum(np.bincount(text, minlength=rows))
+    total = lambda x: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[np.concatenate([[0], ends])]).view(np.int64)
+    return [total(h), total(mix64(h ^ K))]
 
 
 class Join:
@@ -125,26 +168,23 @@ class Join:
         self.docs, self.n, self.num, self.den, self.id_col, self.text_col = docs, n, num, den, id_col, text_col
         counts = counted(docs, n, text_col)
         self.rows = written(described(docs, counts, n, num, den, id_col, text_col), "join-rows")
-        one = self.rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", *PARITY, "prefix")))
+        one = self.rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", *PARITY, "below", "prefix")))
         self.sets = written(one.withColumn("vid", F.monotonically_increasing_id()), "join-sets")
         posted = self.sets.select("vid", "n", F.posexplode("prefix").alias("pos", "token"))
         # Counted before they meet: a long list is only ever dealt out, in joins that Spark can split and in salted parts.
-        lists = written(posted.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "join-lists")
+        lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
         part = F.expr(f"pmod(xxhash64(vid), (rows + {LIST - 1}) div {LIST})")
         posted = posted.join(lists.hint("merge"), "token").select("token", part.alias("part"), "vid", "n", "pos", F.col("vid").alias("c"))
         posted = written(posted.join(self.sets.select("vid", *PARITY), "vid"), "join-posted")
-        # Only postings that some other one of their n-gram passes all filters with; the coarse parities first, then the fine.
-        posted = self.matched(posted, PARITY)
-        wanted = self.sets.join(posted.select("vid").distinct(), "vid", "left_semi").select("vid", "rep", "s1", "s2")
+        # Only postings that some other one of their n-gram passes all filters with that need no more than this.
+        found = posted.alias("x").join(posted.alias("y"), F.expr(f"x.token = y.token AND {self.may('x', 'y')}"), "left_semi")
+        self.shared = written(found.join(self.sets.select("vid", "below"), "vid"), "join-shared")
+        discard(posted)
+        wanted = self.sets.join(self.shared.select("vid").distinct(), "vid", "left_semi").select("vid", "rep", "s1", "s2")
         self.texts = written(self.packed(wanted), "join-texts")
-        fine = written(posted.drop(*PARITY).join(self.texts.select("vid", *FINE), "vid"), "join-posted")
-        self.shared = self.matched(fine, FINE)
-
-    def matched(self, posted: DataFrame, parity: tuple[str, ...]) -> DataFrame:
-        return written(posted.alias("x").join(posted.alias("y"), F.expr(f"x.token = y.token AND {self.may('x', 'y', parity)}"), "left_semi"), "join-shared")
 
     def packed(self, wanted: DataFrame) -> DataFrame:
-        """(vid, z, fine parities): z is the words of each set's text, packed."""
+        """(vid, z): the words of each set's text, packed."""
         n = self.n
 
         @tidy
@@ -152,18 +192,15 @@ class Join:
             hashes = WordHashes()
             for whole in batches:
                 for batch in slices(whole, "_text"):
-                    keep, z, fine = [], [], []
-                    for i, (text, s1, s2) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_text", "s1", "s2")), strict=True)):
-                        words = words_of(text)
-                        if (s1, s2) == tuple(map(int, sign(h := shingles(words, n, hashes)))):
-                            keep.append(i)
-                            fine.append(parities(h, 8, FINE))
-                            z.append(zlib.compress(b" ".join(words), 1))
-                    yield pa.RecordBatch.from_arrays([batch.column("vid").take(pa.array(keep, pa.int64())), pa.array(z, pa.binary()), *map(pa.array, np.array(fine, np.int64).reshape(-1, len(FINE)).T)], ["vid", "z", *FINE])
+                    texts = batch.column("_text").to_pylist()
+                    s1, s2 = signs(*sets_of(texts, n, hashes), len(texts))
+                    own = np.flatnonzero((s1 == batch.column("s1").to_numpy()) & (s2 == batch.column("s2").to_numpy()))
+                    z = [zlib.compress(b" ".join(words_of(texts[i])), 1) for i in own]
+                    yield pa.RecordBatch.from_arrays([batch.column("vid").take(pa.array(own)), pa.array(z, pa.binary())], ["vid", "z"])
 
         docs = self.docs.select(F.col(self.id_col).alias("_id"), F.col(self.text_col).alias("_text"))
         both = docs.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))).select("vid", "s1", "s2", "_text")
-        return both.mapInArrow(pack, f"vid long, z binary, {', '.join(f'{q} long' for q in FINE)}").groupBy("vid").agg(*(F.first(c).alias(c) for c in ("z", *FINE)))
+        return both.mapInArrow(pack, "vid long, z binary").groupBy("vid").agg(F.first("z").alias("z"))
 
     def may_link(self, n: str, m: str) -> str:
         """SQL: the sizes can link. An intersection i links if (num + den) * i >= num * (n + m)."""
@@ -176,34 +213,41 @@ class Join:
         """SQL: with a common n-gram at places i and j, those before can meet those before, and those after those after."""
         return f"(least({i}, {j}) + least({n} - {i}, {m} - {j}) >= {self.least(n, m)})"
 
-    def apart(self, a: str, b: str, parity: tuple[str, ...]) -> str:
+    def apart(self, a: str, b: str) -> str:
         """SQL: a number that the sets differ by at least: the parities that do."""
-        return "(" + " + ".join(f"bit_count({a}.{p} ^ {b}.{p})" for p in parity) + ")"
+        return "(" + " + ".join(f"bit_count({a}.{p} ^ {b}.{p})" for p in PARITY) + ")"
+
+    def suffix(self, x: str, y: str) -> str:
+        """SQL: the suffix filter. What comes after the common n-gram has to meet in all that what is before it can't provide; the
+        sets' numbers of n-grams after it in each range of the order show how many can't meet."""
+        after = lambda a: f"greatest(0, {a}.below[k] - greatest(IF(k = 0, 0, {a}.below[greatest(k - 1, 0)]), {a}.pos + 1))"
+        differ = f"aggregate(sequence(0, {RANGES - 1}), 0, (s, k) -> s + abs({after(x)} - {after(y)}))"
+        return f"({differ} <= {x}.n + {y}.n - {x}.pos - {y}.pos - 2 * ({self.least(f'{x}.n', f'{y}.n')} - least({x}.pos, {y}.pos)))"
 
     def mixed(self, roots: DataFrame) -> DataFrame:
         """The postings of n-grams that join different components c."""
         posted = self.shared.drop("c").join(roots, F.col("vid") == F.col("v"), "left").withColumn("c", F.coalesce("root", "vid")).drop("v", "root")
         tokens = posted.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
-        return written(posted.join(tokens, "token", "left_semi"), "join-mixed")
+        return posted.join(tokens, "token", "left_semi")
 
-    def may(self, x: str, y: str, parity: tuple[str, ...] = FINE) -> str:
-        """SQL: all filters of a pair of postings of one n-gram."""
-        near = f"{self.apart(x, y, parity)} <= {x}.n + {y}.n - 2 * {self.least(f'{x}.n', f'{y}.n')}"
+    def may(self, x: str, y: str) -> str:
+        """SQL: length, position and parities of a pair of postings of one n-gram."""
+        near = f"{self.apart(x, y)} <= {x}.n + {y}.n - 2 * {self.least(f'{x}.n', f'{y}.n')}"
         return f"{x}.vid <> {y}.vid AND {x}.c <> {y}.c AND {self.may_link(f'{x}.n', f'{y}.n')} AND {self.placed(f'{x}.n', f'{x}.pos', f'{y}.n', f'{y}.pos')} AND {near}"
 
     def around(self, posted: DataFrame, most: int) -> DataFrame:
         """Pairs a < b of different components with less than so many postings between them, and how far apart they are at
         least: as many rows as postings at most for each of them, however large a group is."""
         by = Window.partitionBy("token", "part").orderBy("n", "vid")
-        x = F.struct("vid", "n", "pos", "c", *FINE)
+        x = F.struct("vid", "n", "pos", "c", "below", *PARITY)
         rows = posted.select(x.alias("x"), F.array(*(F.lag(x, i).over(by) for i in range(1, most + 1))).alias("before"))
-        kept = f"transform(filter(before, y -> y IS NOT NULL AND {self.may('x', 'y')}), y -> named_struct('vid', y.vid, 'apart', {self.apart('x', 'y', FINE)}))"
+        kept = f"transform(filter(before, y -> y IS NOT NULL AND {self.may('x', 'y')} AND {self.suffix('x', 'y')}), y -> named_struct('vid', y.vid, 'apart', {self.apart('x', 'y')}))"
         rows = rows.select("x.vid", F.explode(F.expr(kept)).alias("y"))
         return rows.select(F.least("vid", "y.vid").alias("a"), F.greatest("vid", "y.vid").alias("b"), "y.apart").distinct()
 
     def crossing(self, posted: DataFrame) -> DataFrame:
         """All pairs of those postings, in different components, through all filters."""
-        pairs = posted.alias("x").join(posted.alias("y"), F.expr(f"x.token = y.token AND x.vid < y.vid AND {self.may('x', 'y')}"))
+        pairs = posted.alias("x").join(posted.alias("y"), F.expr(f"x.token = y.token AND x.vid < y.vid AND {self.may('x', 'y')} AND {self.suffix('x', 'y')}"))
         return pairs.select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -230,25 +274,21 @@ class Join:
         return both.select("a", "b", "za", "zb").mapInArrow(check, "a long, b long")
 
     def roots(self) -> DataFrame:
-        """(v, root) of the vertices that have a smaller one in their component."""
-        near = written(self.around(self.shared, 1), "join-near")
-        first = near.groupBy(F.col("b").alias("v")).agg(F.min(F.struct("apart", "a")).alias("best")).select(F.col("best.a").alias("a"), F.col("v").alias("b"))
-        links = written(self.verified(first), "join-links")
-        rest = self.apart_in(near.select("a", "b").join(first, ["a", "b"], "left_anti"), components(links))
-        tried = near.select("a", "b")
-        links = written(links.unionByName(self.verified(rest)), "join-links")
-        more = written(self.around(self.mixed(components(links)), NEAR).select("a", "b").join(tried, ["a", "b"], "left_anti"), "join-near")
-        tried = tried.unionByName(more)
-        links = written(links.unionByName(self.verified(more)), "join-links")
-        roots = components(links)
-        last = self.verified(self.crossing(self.mixed(roots)).join(tried, ["a", "b"], "left_anti"))
-        return components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(last))
-
-    def apart_in(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs of which the ends are in different components."""
-        for end in ("a", "b"):
-            pairs = pairs.join(roots.select(F.col("v").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-        return pairs.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+        """(v, root) of the vertices that have a smaller one in their component.
+
+        Neighbours first: of the nearest on each list the one that is least apart, then up to NEAR that are still apart, then
+        every pair of a list that is still apart. No pair is verified twice.
+        """
+        near = self.around(self.shared, 1)
+        first = written(near.groupBy(F.col("b").alias("v")).agg(F.min(F.struct("apart", "a")).alias("best")).select(F.col("best.a").alias("a"), F.col("v").alias("b")), "join-near")
+        roots = components(self.verified(first))
+        more = written(self.around(self.mixed(roots), NEAR).select("a", "b").join(first, ["a", "b"], "left_anti"), "join-near")
+        known = lambda r: r.select(F.col("v").alias("a"), F.col("root").alias("b"))
+        again = components(known(roots).unionByName(self.verified(more)))
+        rest = self.crossing(self.mixed(again)).join(first.unionByName(more), ["a", "b"], "left_anti")
+        last = components(known(again).unionByName(self.verified(rest)))
+        discard(first, more, roots, again)
+        return last
 
 
 def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,6 +303,7 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: s
     named = j.sets.select("vid", "rep", "s1", "s2").join(j.roots(), F.col("vid") == F.col("v"), "left").withColumn("c", F.coalesce("root", "vid"))
     smallest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     classes = named.join(smallest, "c").select("s1", "s2", "component_id")
+    discard(j.shared, j.texts)
     return j.rows.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
