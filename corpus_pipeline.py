@@ -22,22 +22,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles, the one of least id; repeated rows once.
 
-    Documents without words link with nothing and stay. A null id is one id: rows that bear it stay if any of them does.
+    Rows are what is linked: of rows that share an id, each stays or goes by its own text. Of equal ids in one group the text of
+    least hash stays. Documents without words link with nothing and stay, each text once an id; null ids come last.
     """
-    kept = ngram_join.joined(docs, n=5, num=80, den=100).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return out.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    rows = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")).withColumn("uid", F.monotonically_increasing_id()), "pipeline-rows")
+    found = ngram_join.joined(rows.select("uid", F.col("doc.text").alias("text")), n=5, num=80, den=100, id_col="uid")
+    found = found.select(F.col("doc_id").alias("uid"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group"))
+    order = rows.select("uid", F.col("doc.doc_id").alias("id"), F.xxhash64(F.coalesce("doc.text", F.lit(""))).alias("sign")).join(found, "uid")
+    # The least of each group is combined before the shuffle, however large the group; texts without words are groups by id.
+    key = [F.coalesce("group", F.lit(-1)).alias("g"), F.when(F.col("group").isNull(), F.struct("id", "sign")).alias("alone")]
+    kept = order.groupBy(*key).agg(F.min(F.struct(F.col("id").isNull(), "id", "sign", "uid")).alias("best")).select(F.col("best.uid").alias("uid"))
+    return rows.join(kept, "uid", "left_semi").select("doc.*")
 
 
 def blank_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span replaced by its kind in brackets; n_chars counts what is then there."""
-    out = pii.scrubbed(docs, spans_col="_pii")
-    return out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return counted(pii.scrubbed(docs, spans_col="_pii"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them whole, rounded by chance, none included; sources then have their target weights."""
-    return mixing.repeated(docs)
+    """The blocks of words that the mix takes, as rows of their documents; n_chars counts what is then there.
+
+    Words of each source are within one and a half blocks of its target.
+    """
+    return counted(mixing.mixed(docs), docs)
+
+
+def counted(now: DataFrame, docs: DataFrame) -> DataFrame:
+    return now.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

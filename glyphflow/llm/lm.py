@@ -28,7 +28,7 @@ OWN, MASS, AFTER = 1, 2, 3
 #: Bits an item, probes an item (one in 11,000 others then answers wrongly), levels, binary digits after the first of a sum.
 BITS, PROBES, LEVELS, DIGITS = 20, 10, 64, 7
 #: Tokens of a chunk, and training tokens that make a bucket: both bound what a task holds.
-CHUNK, BUCKET, LEAST_BUCKETS = 1_000_000, 4_000_000, 24
+CHUNK, BUCKET, LEAST_BUCKETS = 1_000_000, 4_000_000, 8
 #: A history with more than one in so many training tokens is spread over as many buckets as SALTS; there are HOT at most.
 HOT, SALT_BITS = 1024, 6
 

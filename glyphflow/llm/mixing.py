@@ -1,8 +1,8 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-Each source's documents are laid end to end and cut into blocks of a fixed number of words. Output shards draw how many
-slots each source fills; a source's slots run through a pseudorandom permutation of its block numbers, a new one for each
-epoch, and slots meet blocks by number.
+Each source's documents are laid end to end and cut into blocks of a fixed number of words. The slots of output shards draw
+their sources, which makes a shard's counts a multinomial draw; a source's slots run through a pseudorandom permutation of its
+block numbers, a new one for each epoch, and slots meet blocks by number.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from .common import WORD, table, written
 
 #: Within a source, documents are ordered by part, then by id: positions are two sums, neither over a whole source at once.
 PARTS = 4096
-#: Shards whose counts are summed together before a source's groups of shards are.
-GROUP = 1024
+#: Slots that are numbered together before a source's groups of slots are; cells that draws look their source up in.
+GROUP, GRID = 1 << 16, 4096
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -51,72 +51,117 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))
 
 
-def permuted(x: str, n: str, key: str, rounds: int = 8) -> str:
-    """SQL for the place of x in a pseudorandom permutation of 0 to n-1: each round swaps or keeps pairs that add up to a key."""
-    other = f"pmod(pmod(xxhash64({key}, r), {n}) - x, {n})"
-    return f"aggregate(sequence(1, {rounds}), {x}, (x, r) -> IF(xxhash64({key}, r, greatest(x, {other})) % 2 = 0, x, {other}))"
-
-
-def mix(docs: DataFrame, block_words: int = 64, shard_blocks: int = 1024, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def permuted(df: DataFrame, x: str, n: str, key: str, rounds: int = 8) -> DataFrame:
+    """Column x replaced by its place in a pseudorandom permutation of 0 to n-1: each round swaps or keeps pairs that add up to a
+    key. A column a round, so that code is compiled for it."""
+    for r in range(1, rounds + 1):
+        df = df.withColumn("_other", F.expr(f"pmod(pmod(xxhash64({key}, {r}), {n}) - {x}, {n})"))
+        df = df.withColumn(x, F.expr(f"IF(xxhash64({key}, {r}, greatest({x}, _other)) % 2 = 0, {x}, _other)"))
+    return df.drop("_other")
+
+
+class Mix:
+    """The steps over written rows of uid, source, src, size, and doc_id and sign, which order them."""
+
+    def __init__(self, rows: DataFrame, block_words: int, shard_blocks: int, weights: tuple[int, ...], most: int, seed: int):
+        self.rows, self.block_words, self.shard_blocks, self.seed = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")), block_words, shard_blocks, seed
+        quota = targets(rows, weights, most).withColumn("blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
+        slots = F.expr(f"IF(source_size = 0, 0L, least({most} * blocks, cast(round(target * blocks / source_size) AS bigint)))")
+        quota = quota.withColumn("quota", slots)
+        by = Window.orderBy("src")
+        self.quota = written(quota.withColumn("first", F.sum("quota").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("quota")), "mix-targets")
+        self.slots = self.quota.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
+
+    def drawn(self) -> DataFrame:
+        """(id, src, slot): each slot of the output draws its source by its own uniform number, so that a shard's counts are
+        multinomial; slot numbers those of a source in order."""
+        step = max(1, -(-self.slots // GRID))
+        grid = self.quota.where("quota > 0").select("src", "quota", "first", F.explode(F.expr(f"sequence(first div {step}, (first + quota - 1) div {step})")).alias("cell"))
+        u = F.pmod(F.xxhash64(F.lit(self.seed), F.lit("slot"), "id"), F.lit(max(1, self.slots)))
+        spark = self.rows.sparkSession
+        found = spark.range(self.slots).withColumn("u", u).withColumn("cell", F.expr(f"u div {step}")).join(grid, "cell").where("u >= first AND u < first + quota")
+        found = written(found.select("id", "src", F.expr(f"id div {GROUP}").alias("group")), "mix-drawn")
+        groups = found.groupBy("src", "group").agg(F.count(F.lit(1)).alias("in_group"))
+        groups = groups.withColumn("base", F.sum("in_group").over(Window.partitionBy("src").orderBy("group")) - F.col("in_group")).drop("in_group")
+        nth = F.row_number().over(Window.partitionBy("src", "group").orderBy("id")) - 1
+        return found.withColumn("nth", nth).join(groups, ["src", "group"]).select("id", "src", (F.col("base") + F.col("nth")).alias("slot"))
+
+    def filled(self) -> DataFrame:
+        """(shard, id, src, block, blocks): the mix. Slots that a source drew beyond its quota go to sources that drew too few, in
+        order; a source's slots run through a permutation of its block numbers, a new one for each epoch."""
+        drawn = written(self.drawn(), "mix-slots")
+        by = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0)
+        short = self.quota.join(drawn.groupBy("src").agg(F.count(F.lit(1)).alias("had")), "src", "left").select("src", "quota", F.coalesce("had", F.lit(0)).alias("had"))
+        short = short.withColumn("over", F.greatest(F.lit(0), F.col("had") - F.col("quota"))).withColumn("under", F.greatest(F.lit(0), F.col("quota") - F.col("had")))
+        short = written(short.withColumn("over_at", F.sum("over").over(by) - F.col("over")).withColumn("under_at", F.sum("under").over(by) - F.col("under")), "mix-short")
+        both = drawn.join(short.select("src", "quota", "over_at"), "src")
+        free = both.where("slot >= quota").select("id", F.expr("over_at + slot - quota").alias("nth"))
+        open_ = short.where("under > 0").select("src", "had", "under_at", F.explode(F.expr("sequence(0L, under - 1)")).alias("j")).select("src", F.expr("had + j").alias("slot"), F.expr("under_at + j").alias("nth"))
+        slots = both.where("slot < quota").select("id", "src", "slot").unionByName(free.join(open_, "nth").select("id", "src", "slot"))
+        slots = slots.join(self.quota.select("src", "blocks"), "src").withColumn("_key", F.expr(f"xxhash64({self.seed}, src, slot div blocks)")).withColumn("block", F.expr("slot % blocks"))
+        return permuted(slots, "block", "blocks", "_key").select(F.expr(f"id div {self.shard_blocks}").alias("shard"), "id", "src", "block", "blocks")
+
+    def pieces(self) -> DataFrame:
+        """(uid, size, src, block, offset, overlap): each document's words by the blocks that they lie in; a block is null where there are none."""
+        inner = Window.partitionBy("src", "part").orderBy("doc_id", "size", "sign")
+        offsets = self.rows.groupBy("src", "part").agg(F.sum("size").alias("in_part"))
+        offsets = offsets.withColumn("base", F.sum("in_part").over(Window.partitionBy("src").orderBy("part")) - F.col("in_part")).drop("in_part")
+        placed = self.rows.withColumn("inside", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+        placed = placed.join(offsets, ["src", "part"]).withColumn("start", F.col("base") + F.col("inside"))
+        w = self.block_words
+        span = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {w}"), F.expr(f"(start + size - 1) div {w}")))
+        pieces = placed.select("uid", "size", "src", "start", F.explode_outer(span).alias("block")).withColumn("offset", F.greatest(F.col("block") * w, F.col("start")) - F.col("start"))
+        return pieces.withColumn("overlap", F.least((F.col("block") + 1) * w, F.col("start") + F.col("size")) - F.col("offset") - F.col("start")).drop("start")
+
+    def taken(self) -> DataFrame:
+        """The pieces with times: how often the mix takes each."""
+        times = self.filled().groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
+        # Slots look small to the planner, since they come from a few rows: they must not be broadcast.
+        return self.pieces().join(times.hint("merge"), ["src", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """The rows that a mix is made of, written, since their numbers have to last."""
+    source = F.col(source_col).cast("string")
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return written(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), source.alias("source"), source_key(source).alias("src"), size.alias("size"), F.xxhash64(text_col).alias("sign"), *more), "mix-sizes")
+
+
+def mix(docs: DataFrame, block_words: int = 128, shard_blocks: int = 1024, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row a document: doc_id, size, source, source_size, target, taken.
 
     size counts words; taken, the words of the document that the mix takes, with repeats. A shard's counts are a multinomial
-    draw of the systematic kind: one random offset a shard, slots evenly spaced from it, so that each slot has the
-    multinomial's odds and a source's sum stays within a slot or so a shard. A block comes at most `most` times: slots
-    beyond that many epochs, which chance can add to a source at its limit, stay empty.
+    draw; what it leaves between a source's slots and its quota is then moved, so that a source's taken words are within one and
+    a half blocks of its target. A block comes at most `most` times, as no quota is larger.
     Null text, empty text: size 0, taken 0. Null source: a source of its own. Null or repeated ids, repeated rows: every row
     counts and is returned. The result depends on the rows and the seed only, not on their order or partitions.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = written(rows.withColumn("src", source_key(F.col("source"))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")), "mix-sizes")
-    quota = written(targets(rows, weights, most), "mix-targets")
-    words = quota.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    slots = -(-words // block_words)
-    shards = -(-slots // shard_blocks)
-
-    inner = Window.partitionBy("src", "part").orderBy("doc_id", "size")
-    offsets = rows.groupBy("src", "part").agg(F.sum("size").alias("in_part"))
-    offsets = offsets.withColumn("base", F.sum("in_part").over(Window.partitionBy("src").orderBy("part")) - F.col("in_part")).drop("in_part")
-    placed = rows.withColumn("nth", F.row_number().over(inner)).withColumn("inside", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    placed = placed.join(offsets, ["src", "part"]).withColumn("start", F.col("base") + F.col("inside"))
-    span = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")))
-    pieces = placed.select("src", "part", "nth", "doc_id", "size", "start", F.explode_outer(span).alias("block"))
-    pieces = pieces.withColumn("overlap", F.least((F.col("block") + 1) * block_words, F.col("start") + F.col("size")) - F.greatest(F.col("block") * block_words, F.col("start")))
-
-    # Two steps, so that no task makes all of a source's shards.
-    drawn = quota.where(f"source_size > 0 and {shards} > 0").select("src", "source_size", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(max(0, (shards - 1) // GROUP)))).alias("group"))
-    drawn = drawn.repartition("src", "group").withColumn("shard", F.explode(F.expr(f"sequence(group * {GROUP}L, least((group + 1) * {GROUP}L, {max(1, shards)}L) - 1)")))
-    drawn = drawn.withColumn("slots", F.least(F.lit(shard_blocks), F.lit(slots) - F.col("shard") * shard_blocks))
-    drawn = drawn.withColumn("u", (F.pmod(F.xxhash64(F.lit(seed), "shard"), F.lit(1 << 40)) + 0.5) / float(1 << 40))
-    drawn = drawn.withColumn("count", F.floor(F.col("slots") * F.col("hi") - F.col("u")) - F.floor(F.col("slots") * F.col("lo") - F.col("u"))).where("count > 0")
-    groups = drawn.groupBy("src", "group").agg(F.sum("count").alias("in_group"))
-    groups = groups.withColumn("base", F.sum("in_group").over(Window.partitionBy("src").orderBy("group")) - F.col("in_group")).drop("in_group")
-    # A group's few rows become many slots: the number is given, so that they aren't put together into one task first.
-    drawn = drawn.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "group")
-    drawn = drawn.withColumn("inside", F.sum("count").over(Window.partitionBy("src", "group").orderBy("shard")) - F.col("count")).join(groups, ["src", "group"])
-    filled = drawn.select("src", F.expr(f"(source_size + {block_words - 1}) div {block_words}").alias("blocks"), F.explode(F.expr("sequence(base + inside, base + inside + count - 1)")).alias("slot"))
-    filled = filled.where(F.col("slot") < most * F.col("blocks"))
-    filled = filled.select("src", F.expr(permuted("slot % blocks", "blocks", f"{seed}, src, slot div blocks")).alias("block"))
-    times = filled.groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
-
-    # Slots look small to the planner, since they come from a few rows: they must not be broadcast.
-    taken = pieces.join(times.hint("merge"), ["src", "block"], "left").groupBy("src", "part", "nth", "doc_id", "size").agg(F.sum(F.coalesce(F.col("times") * F.col("overlap"), F.lit(0))).alias("taken"))
-    return taken.join(quota.select("src", "source", "source_size", "target"), "src").select("doc_id", "size", "source", "source_size", "target", "taken")
-
-
-def repeated(docs: DataFrame, seed: int = 1, **options) -> DataFrame:
-    """Each document as often as the mix takes it whole, on average: taken / size, rounded down or up by chance with these odds.
-
-    The words of a source thus come to its target, but for what chance leaves. The chance is a hash of the seed and the row.
-    Rows with one id in one source share what is taken of them. Documents that nothing is taken of are gone.
+    rows = sized(docs, id_col, text_col, source_col)
+    m = Mix(rows, block_words, shard_blocks, weights, most, seed)
+    taken = m.taken().groupBy("uid").agg(F.sum(F.coalesce(F.col("times") * F.col("overlap"), F.lit(0))).alias("taken"))
+    out = rows.join(taken, "uid").join(m.quota.select("src", "source_size", "target"), "src")
+    return out.select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, block_words: int = 128, shard_blocks: int = 1024, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents with the words that the mix takes of them: a row for the first time, one for the second, and so on.
+
+    A row's text is the whole text where all of it is taken that often, else the words of the blocks that are, in their order and
+    with one space between them. Words of a source thus come to within one and a half blocks of its target. Documents that
+    nothing is taken of, those without words among them, are gone. Columns and their names stay; rows with one id are rows of
+    their own.
     """
-    key, text, source = (F.col(options.get(f"{c}_col", d)) for c, d in (("id", "doc_id"), ("text", "text"), ("source", "source")))
-    odds = mix(docs, seed=seed, **options).groupBy("doc_id", "source").agg((F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).alias("_odds")).where("_odds > 0")
-    odds = odds.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_odds")
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.lit("copies"), key, source, text), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    both = docs.join(odds, key.eqNullSafe(F.col("_id")) & source.cast("string").eqNullSafe(F.col("_source")))
-    both = both.withColumn("_times", F.floor(F.col("_odds") + u).cast("int")).where("_times > 0")
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+    rows = sized(docs, id_col, text_col, source_col, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    m = Mix(rows.drop("doc"), block_words, shard_blocks, weights, most, seed)
+    piece = F.struct("offset", "overlap", "times")
+    found = m.taken().where("times > 0").groupBy("uid").agg(F.sort_array(F.collect_list(piece)).alias("pieces"), F.max("times").alias("most"))
+    out = rows.select("uid", "size", "doc").join(found, "uid").withColumn("time", F.explode(F.expr("sequence(1L, most)")))
+    out = out.withColumn("pieces", F.expr("filter(pieces, p -> p.times >= time)"))
+    text = f"doc.`{text_col}`"
+    some = f"array_join(flatten(transform(array(regexp_extract_all({text}, '{WORD}', 0)), w -> flatten(transform(pieces, p -> slice(w, cast(p.offset AS int) + 1, cast(p.overlap AS int)))))), ' ')"
+    whole = "aggregate(pieces, 0L, (a, p) -> a + p.overlap) = size"
+    out = out.withColumn("text", F.expr(f"IF({whole}, {text}, {some})"))
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, table, tidy
+from .common import crc_mod, discard, slices, table, tidy, written
 
 #: Labelled rows that the model is fitted on at most: toxic and clean, those of least hash. Documented bounds.
 MOST_TOXIC, MOST_CLEAN, MOST_TERMS = 2_000, 6_000, 1_000
@@ -27,7 +27,22 @@ WORD = re.compile(r"\w+")
 LEET = str.maketrans("013457", "oieast")
 REPORTING = frozenset("said says saying called calls wrote writes quote quoted quotes word words term dit mot dijo palabra sagte wort".split())
 AIMED = frozenset("you your youre u are du dein ihr tu te vous tú eres".split())
-QUOTES = re.compile(r"\"[^\"\n]{0,400}\"|“[^”\n]{0,400}”|«[^»\n]{0,400}»|„[^“\n]{0,400}“")
+MARKS = re.compile(r'["“”«»„\n]')
+CLOSED_BY = {'"': '"', "“": "”", "«": "»", "„": "“"}
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans from an opening mark to its closing one on the same line, of any length, in one pass."""
+    out, start, close = [], 0, ""
+    for m in MARKS.finditer(text):
+        if close and m[0] == close:
+            out.append((start, m.end()))
+            close = ""
+        elif m[0] == "\n":
+            close = ""
+        elif not close and m[0] in CLOSED_BY:
+            start, close = m.start(), CLOSED_BY[m[0]]
+    return out
 
 
 class Automaton:
@@ -56,6 +71,8 @@ class Lexicon:
     """Terms as (text, is a stem, weight)."""
 
     def __init__(self, terms: list[tuple[str, bool, float]], k: int = 1):
+        if k not in (0, 1):
+            raise ValueError("the gate before the automata lets through what is one edit away, no more")
         self.terms, self.k, self.trie = terms, k, {}
         for n, (text, _, _) in enumerate(terms):
             node = self.trie
@@ -66,6 +83,7 @@ class Lexicon:
         halves = [(t[: len(t) // 2], t[len(t) // 2 :]) for t, stem, _ in terms if not stem and len(t) >= FUZZY_FROM]
         either = [f"^(?:{'|'.join(map(re.escape, sorted({h for h, _ in halves})))})", f"(?:{'|'.join(map(re.escape, sorted({t for _, t in halves})))})$"] if halves and k else ["(?!)"]
         self.gate = re.compile("|".join(either)).search
+        self.letters = {"".join(sorted(t)) for t, stem, _ in terms if k and not stem and len(t) >= FUZZY_FROM}
         self.known: dict[str, tuple[int, bool] | None] = {}
 
     def __getstate__(self) -> dict:
@@ -95,6 +113,14 @@ class Lexicon:
                     stack.append((below, next_, depth + 1))
         return best
 
+    def swapped(self, word: str) -> int | None:
+        """The heaviest of those terms that is the word with two neighbouring letters swapped: two edits to the automaton."""
+        if "".join(sorted(word)) not in self.letters:
+            return None
+        found = {self.exact(word[:i] + word[i + 1] + word[i] + word[i + 2 :]) for i in range(len(word) - 1)} - {None}
+        found = [n for n in found if not self.terms[n][1] and len(self.terms[n][0]) == len(word)]
+        return max(found, key=lambda n: (self.terms[n][2], -n), default=None)
+
     def find(self, word: str) -> tuple[int, bool] | None:
         """(term, whether misspelled) of a lower-cased word."""
         if word in self.known:
@@ -105,7 +131,7 @@ class Lexicon:
         found = None
         if (n := self.exact(plain)) is not None:
             found = (n, plain != word)
-        elif FUZZY_FROM - 1 <= len(plain) <= LONGEST + 1 and self.gate(plain) and (n := self.near(plain)) is not None:
+        elif FUZZY_FROM - 1 <= len(plain) <= LONGEST + 1 and ((self.gate(plain) and (n := self.near(plain)) is not None) or (n := self.swapped(plain)) is not None):
             found = (n, True)
         self.known[word] = found
         return found
@@ -121,7 +147,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     hits = {w: f for w in words if (f := lexicon.find(w)) is not None}
     if not hits:
         return [0.0] * FEATURES
-    quoted = [m.span() for m in QUOTES.finditer(lower)]
+    quoted = quotations(lower)
     spans = [m for m in WORD.finditer(lower)]
     at, weight, exact, fuzzy, inside = [], [], 0, 0, 0
     q = 0
@@ -174,21 +200,9 @@ def beginnings(text: str | None) -> set[str]:
 class Model:
     """The lexicon and a logistic regression on its finds."""
 
-    def __init__(self, rows: list[tuple[str | None, int]], share: float):
-        """rows: texts with labels. share: of toxic rows among all labelled, which the rows needn't have."""
-        rows = list(dict(rows).items())  # copies would make terms of all their words
-        toxic, clean = Counter(), Counter()
-        for text, label in sorted(rows, key=lambda r: -r[1]):
-            if label:
-                toxic.update(beginnings(text))
-            else:
-                if not clean:
-                    toxic = Counter({t: n for t, n in toxic.items() if n >= LEAST})
-                clean.update(t for t in beginnings(text) if t in toxic)
-        totals = Counter(label for _, label in rows)
-        self.lexicon = Lexicon(lexicon_of(toxic, clean, totals[1], totals[0]))
-        x = np.array([features(t, self.lexicon) for t, _ in rows]).reshape(-1, FEATURES)
-        y = np.array([label for _, label in rows], float)
+    def __init__(self, lexicon: Lexicon, x: np.ndarray, y: np.ndarray, share: float):
+        """x, y: features and labels of the rows. share: of toxic rows among all labelled, which these rows needn't have."""
+        self.lexicon = lexicon
         self.fit(x, y, share)
 
     def fit(self, x: np.ndarray, y: np.ndarray, share: float) -> None:
@@ -223,9 +237,52 @@ def fitted(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id",
         return mine.orderBy("_hash", "_id").limit(most).select("_id", "toxic")
 
     sample = F.broadcast(first(1, MOST_TOXIC).unionByName(first(0, MOST_CLEAN)))  # so many rows of two numbers at most
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(sample, "_id").select("_text", "toxic")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(sample, "_id")
+    rows = written(rows.groupBy("_text").agg(F.max("toxic").alias("toxic")), "toxic-sample")  # copies would make terms of all their words
     share = totals.get(1, 0) / max(1, sum(totals.values()))
-    return Model([(r["_text"], int(r["toxic"])) for r in rows.toLocalIterator()], share)
+    lexicon = learned(rows)
+    model = Model(lexicon, *described(rows, lexicon), share)
+    discard(rows)
+    return model
+
+
+def learned(rows: DataFrame) -> Lexicon:
+    """Of (_text, toxic): counted by the workers; to the driver come what LEAST toxic texts hold, and then the terms that are left."""
+
+    def counting(known: set[str] | None):
+        @tidy
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: Counter = Counter()
+            for whole in batches:
+                for batch in slices(whole, "_text"):
+                    for text in batch.column("_text").to_pylist():
+                        found = beginnings(text)
+                        held.update(found if known is None else found & known)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
+
+        return count
+
+    def counted(label: int, known: set[str] | None, least: int) -> Counter:
+        found = rows.where(F.col("toxic") == label).select("_text").mapInArrow(counting(known), "term string, n long")
+        return Counter({r["term"]: r["n"] for r in found.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()})
+
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    toxic = counted(1, None, LEAST)
+    return Lexicon(lexicon_of(toxic, counted(0, set(toxic), 1), sizes.get(1, 0), sizes.get(0, 0)))
+
+
+def described(rows: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the sample, in an order that no partitioning changes."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "_text"):
+                x = [features(t, lexicon) for t in batch.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic").cast(pa.int32())], ["x", "y"])
+
+    found = sorted((list(r["x"]), r["y"]) for r in rows.mapInArrow(run, "x array<double>, y int").collect())
+    return np.array([x for x, _ in found]).reshape(-1, FEATURES), np.array([y for _, y in found], float)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
