@@ -25,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, with underscores put before it until no column bears it in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def lower_ascii(col: Column) -> Column:
     """A-Z lower-cased, every other character kept."""
     return F.translate(col, UPPER, UPPER.lower())

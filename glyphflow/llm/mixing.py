@@ -53,10 +53,10 @@ def source_key(source: Column) -> Column:
 
 def permuted(df: DataFrame, x: str, n: str, key: str, rounds: int = 8) -> DataFrame:
     """Column x replaced by its place in a pseudorandom permutation of 0 to n-1: each round swaps or keeps pairs that add up to a
-    key. A column a round, so that code is compiled for it."""
+    key. A column a round, so that code is compiled for it; not nullable, as a test for null would be pushed through all rounds."""
     for r in range(1, rounds + 1):
         df = df.withColumn("_other", F.expr(f"pmod(pmod(xxhash64({key}, {r}), {n}) - {x}, {n})"))
-        df = df.withColumn(x, F.expr(f"IF(xxhash64({key}, {r}, greatest({x}, _other)) % 2 = 0, {x}, _other)"))
+        df = df.withColumn(x, F.expr(f"coalesce(IF(xxhash64({key}, {r}, greatest({x}, _other)) % 2 = 0, {x}, _other), 0L)"))
     return df.drop("_other")
 
 
@@ -157,10 +157,10 @@ def mixed(docs: DataFrame, block_words: int = 128, shard_blocks: int = 1024, wei
     found = m.taken().where("times > 0").groupBy("uid").agg(F.sort_array(F.collect_list(piece)).alias("pieces"), F.max("times").alias("most"))
     out = rows.select("uid", "size", "doc").join(found, "uid").withColumn("time", F.explode(F.expr("sequence(1L, most)")))
     out = out.withColumn("pieces", F.expr("filter(pieces, p -> p.times >= time)"))
-    text = f"doc.`{text_col}`"
-    some = f"array_join(flatten(transform(array(regexp_extract_all({text}, '{WORD}', 0)), w -> flatten(transform(pieces, p -> slice(w, cast(p.offset AS int) + 1, cast(p.overlap AS int)))))), ' ')"
-    whole = "aggregate(pieces, 0L, (a, p) -> a + p.overlap) = size"
-    out = out.withColumn("text", F.expr(f"IF({whole}, {text}, {some})"))
+    text = F.col(f"doc.`{text_col}`")
+    out = out.withColumn("words", F.when(F.expr("aggregate(pieces, 0L, (a, p) -> a + p.overlap) < size"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))))
+    some = F.expr("array_join(flatten(transform(pieces, p -> slice(words, cast(p.offset AS int) + 1, cast(p.overlap AS int)))), ' ')")
+    out = out.withColumn("text", F.coalesce(some, text))
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from glyphflow.llm import bpe, ngram_join, pii
+from glyphflow.llm import bpe, mixing, ngram_join, pii
 from glyphflow.llm.queries import QUERIES, SQL
 
 from .test_operators import brute_join
@@ -69,11 +69,29 @@ def test_pipeline_stages(spark, sf_dir):
     blanked = steps["pii"](spark, docs, sf_dir)
     assert blanked.columns == docs.columns and {r.doc_id: r.text for r in blanked.collect()} == {i: pii.redacted(t, pii.found(t)[1]) for i, t in rows}
     mixed = steps["mixing"](spark, docs, sf_dir)
-    assert mixed.columns == docs.columns and {(r.doc_id, r.text) for r in mixed.collect()} <= set(rows)
+    got, words = Counter(), Counter()
+    for r in mixed.collect():
+        assert r.n_chars == len(r.text)
+        got[r.doc_id] += len((r.text or "").encode().split())
+        words[r.source] += len((r.text or "").encode().split())
+    plan = mixing.mix(docs).collect()
+    assert mixed.columns == docs.columns and got == +Counter({r.doc_id: r.taken for r in plan})
+    assert all(abs(words[r.source] - r.target) <= 1.5 * 128 for r in plan)
     b = bpe.bpe(*bpe.vocabulary())
     assert {r.doc_id: r.ids for r in steps["bpe"](spark, docs, sf_dir).collect()} == {i: b.encode(t or "") for i, t in rows}
 
 
+def test_pipeline_keeps_a_callers_columns(spark, sf_dir):
+    """Names that stages use inside, on rows with null and repeated ids."""
+    rows = [(1, "a b c d e f g", "s", 13, *"tpiyxwuvz"), (1, "another text under one id", "s", 25, *"tpiyxwuvz"), (2, "A b c d e f g", "s", 13, *"tpiyxwuvz"), (None, "a b c d e f g", "s", 13, *"tpiyxwuvz"), (None, None, None, 0, *"tpiyxwuvz"), (3, "", "s", 0, *"tpiyxwuvz"), (3, "", "s", 0, *"tpiyxwuvz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, toxic string, pii string, _id string, _text string, _time string, words string, uid string, rules string, doc string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, [docs.collect()[i] for i in (0, 1, 4, 5)]))
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.blank_personal_data, corpus_pipeline.mix_sources):
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and all("".join(r[4:]) == "tpiyxwuvz" for r in out.collect()) and out.count() >= 4
+
+
 def test_pipeline_runs_through(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 50 and "ids" in out.columns
