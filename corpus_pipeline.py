@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphflow.llm import bpe, mixing, ngram_join, pii, toxicity
-from glyphflow.llm.common import table, written
+from glyphflow.llm.common import fresh, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents less those that the model, learned from the labels outside the held-out fold, gives 0.7 or more."""
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"), toxicity.training_out())
-    out = toxicity.scored(docs, model, score_col="_toxic")
-    return out.where(~toxicity.rejected(F.col("_toxic"))).select(*docs.columns)
+    score = fresh(docs, "toxic")
+    return toxicity.scored(docs, model, score_col=score).where(~toxicity.rejected(F.col(score))).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def blank_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span replaced by its kind in brackets; n_chars counts what is then there."""
-    return counted(pii.scrubbed(docs, spans_col="_pii"), docs)
+    return counted(pii.scrubbed(docs, spans_col=fresh(docs, "pii")), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
