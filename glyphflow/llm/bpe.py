@@ -2,13 +2,15 @@
 
 Distinct pieces of a batch are bucketed by length and laid into one padded matrix a bucket. Each round looks every pair of
 neighbours up in a hash table, merges each row's leftmost pair of least rank, moves the rest of the row up by one and lets
-go of rows that have no pair left.
+go of rows that have no pair left. Rounds over a very long piece would take time with the square of its length: from LONG bytes
+its pairs wait in a heap by rank and place, over a list that shrinks, which merges the same pairs in the same order.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import slices, table, tidy
 
 NO_RANK = np.int32(2**31 - 1)
-#: Cells of a matrix at most, and pieces whose encoding a worker keeps.
-CELLS, KEPT = 1 << 18, 100_000
+#: Cells of a matrix at most; pieces and their bytes of which a worker keeps the encoding; bytes from which a piece is merged by a heap.
+CELLS, KEPT, KEPT_BYTES, LONG = 1 << 18, 100_000, 16_000_000, 512
 
 
 class PairTable:
@@ -76,14 +78,17 @@ class Bpe:
         pairs = [(ranks[b[:i]], ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
         self.pairs = PairTable(*(np.array(x, np.int32) for x in zip(*pairs, strict=True)))
         self.known: dict[str, tuple[bytes, bytes, int]] = {}
+        self.held = 0
 
     def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of each piece."""
         out: list = [None] * len(pieces)
         sizes, order = np.array([len(p) for p in pieces], np.int64), None
         bucket = np.where(sizes > 0, np.ceil(np.log2(np.maximum(sizes, 1))), 0).astype(np.int64)
-        for b in np.unique(bucket):
-            order = np.flatnonzero(bucket == b)
+        for i in np.flatnonzero(sizes >= LONG).tolist():
+            out[i] = self.merge_long(pieces[i])
+        for b in np.unique(bucket[sizes < LONG]):
+            order = np.flatnonzero((bucket == b) & (sizes < LONG))
             width = max(1, int(sizes[order].max()))
             for at in range(0, len(order), rows := max(1, CELLS // width)):
                 self.merge_bucket(pieces, order[at : at + rows], width, out)
@@ -122,6 +127,43 @@ class Bpe:
                 rank[n[place >= 0], place[place >= 0]] = NO_RANK
                 rank[n[ok], place[ok]] = self.pairs.find(cells[n[ok], place[ok]], cells[n[ok], place[ok] + 1])
 
+    def merge_long(self, piece: bytes) -> np.ndarray:
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        rank = np.append(self.pairs.find(ids[:-1], ids[1:]), NO_RANK)
+        n, ids, rank = len(ids), ids.tolist(), rank.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, r in enumerate(rank) if r != NO_RANK]
+        heapq.heapify(heap)
+        found: dict[tuple[int, int], int] = {}
+
+        def ranked(i: int) -> None:
+            """The pair that now begins at i waits, if it merges."""
+            rank[i] = int(NO_RANK)
+            if i >= 0 and after[i] < n:
+                pair = ids[i], ids[after[i]]
+                if pair not in found:
+                    found[pair] = int(self.pairs.find(np.array(pair[:1], np.int32), np.array(pair[1:], np.int32))[0])
+                if (r := found[pair]) != NO_RANK:
+                    rank[i] = r
+                    heapq.heappush(heap, (r, i))
+
+        while heap:
+            r, i = heapq.heappop(heap)
+            if rank[i] != r:
+                continue  # merged away, or another pair by now
+            gone = after[i]
+            ids[i], rank[gone], after[i] = r, -1, after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+            ranked(i)
+            if before[i] >= 0:
+                ranked(before[i])
+        out, i = [], 0
+        while i < n:
+            out.append(ids[i])
+            i = after[i]
+        return np.array(out, np.int32)
+
     def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
         """A piece that is a word of the vocabulary is that word; the others are merged."""
         raw = [p.encode() for p in pieces]
@@ -136,9 +178,10 @@ class Bpe:
 
     def learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > KEPT:
-            self.known = {}
+        if len(self.known) + len(new) > KEPT or self.held > KEPT_BYTES:
+            self.known, self.held = {}, 0
             new = list(pieces)
+        self.held += sum(map(len, new))
         for p, ids in zip(new, self.encode_pieces(new), strict=True):
             ids = ids.tolist()
             self.known[p] = (" ".join(map(str, ids)).encode(), self.decode(ids), len(ids))
@@ -188,7 +231,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
                     rows.append((n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join(x[1] for x in found)).hexdigest()) if digests else (n, np.array(ids.split(), np.int32)))
                 types = [pa.int64(), pa.string(), pa.string()] if digests else [pa.int64(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [*kept, *names])
-        b.known = {}
+        b.known, b.held = {}, 0
 
     return docs.select(*kept, text_col).mapInArrow(run, schema)
 

@@ -1,8 +1,9 @@
 """TIFF columns: one row per page of every file, read by walking its image directories.
 
-Reads both byte orders, strips and tiles, one or several 8-bit or 16-bit samples a pixel (interleaved or in planes), no
-compression, PackBits, LZW and deflate, and undoes horizontal differencing. Numbers of tags and codes are those of the
-format's specification.
+Reads both byte orders, files with 32-bit and with 64-bit offsets, strips and tiles, one or several samples a pixel (interleaved
+or in planes) of 1, 2, 4, 8, 16, 32 or 64 bits, signed, unsigned or floating, no compression, PackBits, LZW and deflate, and undoes
+horizontal differencing of whole numbers and of floating ones. A picture with a palette is read as its indices. Numbers of tags
+and codes are those of the format's specification.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import slices, table, tidy
 
 #: Field types and their sizes; tags; compression codes. Fixed values of the format.
-TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4)}
+TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 16: ("Q", 8), 17: ("q", 8), 18: ("Q", 8)}
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS_PER_STRIP, COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 284, 317, 322, 323, 324, 325
+PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS, FORMAT = 284, 317, 322, 323, 324, 325, 339
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
-#: No page may claim more decoded bytes than this.
-MOST_BYTES = 1 << 30
+#: Kinds of samples by code; their bits.
+FORMATS, WIDTHS = {1: "u", 2: "i", 3: "f", 4: "u"}, {"u": (1, 2, 4, 8, 16, 32, 64), "i": (8, 16, 32, 64), "f": (16, 32, 64)}
+#: What a cell of a table holds; no page may claim more decoded bytes.
+MOST_BYTES = (1 << 31) - 1
 
 
 class BadTiff(ValueError):
@@ -151,61 +154,87 @@ def unpacked(code: int, data: bytes, most: int) -> bytes:
 
 def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
     """The byte order and tags of each image directory in turn; a directory met again ends the walk."""
-    if data[:4] not in (b"II*\0", b"MM\0*"):
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        order, wide, at = "<" if data[:1] == b"I" else ">", False, 4
+    elif data[:8] in (b"II+\0\x08\0\0\0", b"MM\0+\0\x08\0\0"):
+        order, wide, at = "<" if data[:1] == b"I" else ">", True, 8
+    else:
         raise BadTiff("no TIFF header")
-    order, seen = "<" if data[:1] == b"I" else ">", set()
+    # Counts of entries, an entry's head, what its value or place takes.
+    many, head, place = (order + "Q", order + "HHQ", 8) if wide else (order + "H", order + "HHI", 4)
+    link, seen = order + ("Q" if wide else "I"), set()
+    first, step = struct.calcsize(many), struct.calcsize(head) + place
     try:
-        (at,) = struct.unpack_from(order + "I", data, 4)
+        (at,) = struct.unpack_from(link, data, at)
         while at and at not in seen:
             seen.add(at)
             tags = {}
-            (n,) = struct.unpack_from(order + "H", data, at)
+            (n,) = struct.unpack_from(many, data, at)
+            if at + first + n * step > len(data):
+                raise BadTiff(f"{n} entries end beyond the file")
             for i in range(n):
-                tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+                entry = at + first + step * i
+                tag, kind, count = struct.unpack_from(head, data, entry)
                 if kind not in TYPES:
                     continue
                 letter, size = TYPES[kind]
-                where = at + 10 + 12 * i if size * count <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0]
+                where = entry + step - place
+                if size * count > place:
+                    (where,) = struct.unpack_from(link, data, where)
                 if where + size * count > len(data):
                     raise BadTiff(f"tag {tag} ends beyond the file")
                 tags[tag] = struct.unpack_from(f"{order}{count}{letter}" if len(letter) == 1 else order + letter * count, data, where)
             yield order, tags
-            (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
+            (at,) = struct.unpack_from(link, data, at + first + n * step)
     except struct.error as e:
         raise BadTiff(str(e)) from None
 
 
 def page(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
-    """Rows, columns, samples of one image directory."""
+    """Rows, columns, samples of one image directory; samples of less than 8 bits get a byte each."""
     one = lambda tag, other: tags.get(tag, (other,))[0]
     width, length, samples, code = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1), one(COMPRESSION, NONE)
-    bits, planar, predictor = set(tags.get(BITS, (1,))), one(PLANAR, 1), one(PREDICTOR, 1)
-    if bits not in ({8}, {16}) or predictor not in (1, 2) or not width or not length:
-        raise BadTiff(f"{width} x {length}, bits {sorted(bits)}, predictor {predictor}")
-    kind = np.dtype(np.uint8 if bits == {8} else order + "u2")
+    bits, planar, predictor, letter = set(tags.get(BITS, (1,))), one(PLANAR, 1), one(PREDICTOR, 1), FORMATS.get(one(FORMAT, 1), "")
+    if len(bits) != 1 or not bits <= set(WIDTHS.get(letter, ())) or not width or not length or not samples:
+        raise BadTiff(f"{width} x {length} x {samples}, bits {sorted(bits)}, format {one(FORMAT, 1)}")
+    (bits,) = bits
+    if predictor not in (1, 2, 3) or predictor == 2 and (bits < 8 or letter == "f") or predictor == 3 and letter != "f":
+        raise BadTiff(f"predictor {predictor} of {bits} bits, format {letter}")
+    kind = np.dtype(f"{order}{letter}{max(bits, 8) // 8}")
     if width * length * samples * kind.itemsize > MOST_BYTES:
         raise BadTiff(f"{width} x {length} is larger than is read here")
     tiled = TILE_WIDTH in tags
     w, h = (one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)) if tiled else (width, min(one(ROWS_PER_STRIP, length), length))
     offsets, counts = tags.get(TILE_OFFSETS if tiled else OFFSETS, ()), tags.get(TILE_COUNTS if tiled else COUNTS, ())
     across, down, planes, deep = -(-width // max(1, w)), -(-length // max(1, h)), samples if planar == 2 else 1, 1 if planar == 2 else samples
-    if not w or not h or min(len(offsets), len(counts)) < across * down * planes:
-        raise BadTiff("too few strips or tiles")
+    if not w or not h or min(len(offsets), len(counts)) < across * down * planes or w * h * deep * kind.itemsize > MOST_BYTES:
+        raise BadTiff("too few strips or tiles, or too large ones")
     out = np.zeros((down * h if tiled else length, across * w, samples), kind.newbyteorder("="))
+    row_bytes = -(-w * deep * bits // 8)
     for i in range(across * down * planes):
         plane, place = divmod(i, across * down)
         y, x = place // across * h, place % across * w
         rows = h if tiled else min(h, length - y)
-        raw = unpacked(code, data[offsets[i] : offsets[i] + counts[i]], rows * w * deep * kind.itemsize)
-        if len(raw) < rows * w * deep * kind.itemsize:
+        raw = unpacked(code, data[offsets[i] : offsets[i] + counts[i]], rows * row_bytes)
+        if len(raw) < rows * row_bytes:
             raise BadTiff(f"strip or tile {i} is short")
-        part = np.frombuffer(raw, kind).reshape(rows, w, deep).astype(out.dtype, copy=False)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=out.dtype)
+        part = samples_of(np.frombuffer(raw, np.uint8).reshape(rows, row_bytes), w, deep, bits, kind, predictor)
         out[y : y + rows, x : x + w, slice(plane, plane + 1) if planar == 2 else slice(None)] = part
     return out[:length, :width]
 
 
+def samples_of(raw: np.ndarray, w: int, deep: int, bits: int, kind: np.dtype, predictor: int) -> np.ndarray:
+    """Rows of bytes as rows x columns x samples, with differences undone."""
+    if bits < 8:
+        one = np.unpackbits(raw, axis=1)[:, : w * deep * bits].reshape(len(raw), w, deep, bits)
+        return (one << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
+    if predictor == 3:  # bytes differ from those a pixel before; a row has all its first bytes, high ones first, then all second
+        whole = np.cumsum(raw.reshape(len(raw), -1, deep), axis=1, dtype=np.uint8).reshape(len(raw), kind.itemsize, w * deep)
+        return np.ascontiguousarray(whole.transpose(0, 2, 1)).view(f">f{kind.itemsize}").reshape(len(raw), w, deep).astype(kind.newbyteorder("="))
+    part = np.ascontiguousarray(raw).view(kind).reshape(len(raw), w, deep).astype(kind.newbyteorder("="), copy=False)
+    return np.cumsum(part, axis=1, dtype=part.dtype) if predictor == 2 else part
+
+
 def pages(data: bytes | None) -> list[tuple[int, np.ndarray | None, str | None]]:
     """(number, pixels, error) of each page; a file that can't be walked to its end adds one row with the error."""
     out: list[tuple[int, np.ndarray | None, str | None]] = []
@@ -222,42 +251,59 @@ def pages(data: bytes | None) -> list[tuple[int, np.ndarray | None, str | None]]
     return out
 
 
-def encode(images: list[np.ndarray], code: int = DEFLATE, predictor: int = 1, tile: tuple[int, int] | None = None, strip_rows: int = 1024, order: str = "<", level: int = 1) -> bytes:
-    """A TIFF of rows x columns (x samples) arrays of uint8 or uint16."""
-    out = bytearray((b"II*\0" if order == "<" else b"MM\0*") + bytes(4))
-    link = 4
+def bytes_of(part: np.ndarray, bits: int, order: str, predictor: int) -> bytes:
+    """The reverse of samples_of."""
+    rows, w, deep = part.shape
+    if bits < 8:
+        one = np.unpackbits(part[..., None].astype(np.uint8), axis=3)[..., 8 - bits :].reshape(rows, -1)
+        return np.packbits(one, axis=1).tobytes()
+    if predictor == 3:
+        planes = part.astype(part.dtype.newbyteorder(">")).reshape(rows, w * deep, 1).view(np.uint8).transpose(0, 2, 1).reshape(rows, -1, deep)
+        return np.concatenate([planes[:, :1], planes[:, 1:] - planes[:, :-1]], axis=1).tobytes()
+    if predictor == 2:
+        part = np.concatenate([part[:, :1], part[:, 1:] - part[:, :-1]], axis=1)
+    return part.astype(part.dtype.newbyteorder(order), copy=False).tobytes()
+
+
+def encode(images: list[np.ndarray], code: int = DEFLATE, predictor: int = 1, tile: tuple[int, int] | None = None, strip_rows: int = 1024, order: str = "<", level: int = 1, bits: int | None = None, planar: int = 1, wide: bool = False) -> bytes:
+    """A TIFF of rows x columns (x samples) arrays; wide: with 64-bit offsets."""
+    out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HHHQ", 43, 8, 0, 0) if wide else (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
+    word, many, head = (order + "Q", order + "Q", order + "HHQ") if wide else (order + "I", order + "H", order + "HHI")
+    place, link = struct.calcsize(word), 8 if wide else 4
     for image in images:
         image = image if image.ndim == 3 else image[:, :, None]
         length, width, samples = image.shape
-        bits, (h, w) = image.dtype.itemsize * 8, tile or (min(strip_rows, length), width)
+        size, (h, w) = bits or image.dtype.itemsize * 8, tile or (min(strip_rows, length), width)
         offsets, counts = [], []
-        for y in range(0, length, h):
-            for x in range(0, width, w):
-                part = image[y : y + h, x : x + w]
-                if tile and part.shape[:2] != tile:
-                    part = np.pad(part, ((0, h - part.shape[0]), (0, w - part.shape[1]), (0, 0)))
-                if predictor == 2:
-                    part = np.concatenate([part[:, :1], part[:, 1:] - part[:, :-1]], axis=1)
-                raw = part.astype(part.dtype.newbyteorder(order), copy=False).tobytes()
-                packed = raw if code == NONE else zlib.compress(raw, level) if code in (DEFLATE, OLD_DEFLATE) else pack_lzw(raw) if code == LZW else pack_packbits_rows(raw, w * samples * bits // 8)
-                offsets.append(len(out))
-                counts.append(len(packed))
-                out += packed
-        tags = {WIDTH: (4, [width]), LENGTH: (4, [length]), BITS: (3, [bits] * samples), COMPRESSION: (3, [code]), PHOTOMETRIC: (3, [1 if samples < 3 else 2]), SAMPLES: (3, [samples]), PLANAR: (3, [1]), PREDICTOR: (3, [predictor])}
-        tags |= {TILE_WIDTH: (4, [w]), TILE_LENGTH: (4, [h]), TILE_OFFSETS: (4, offsets), TILE_COUNTS: (4, counts)} if tile else {OFFSETS: (4, offsets), ROWS_PER_STRIP: (4, [h]), COUNTS: (4, counts)}
+        for plane in range(samples) if planar == 2 else [slice(None)]:
+            for y in range(0, length, h):
+                for x in range(0, width, w):
+                    part = image[y : y + h, x : x + w, plane]
+                    part = part[:, :, None] if planar == 2 else part
+                    if tile and part.shape[:2] != tile:
+                        part = np.pad(part, ((0, h - part.shape[0]), (0, w - part.shape[1]), (0, 0)))
+                    raw = bytes_of(part, size, order, predictor)
+                    packed = raw if code == NONE else zlib.compress(raw, level) if code in (DEFLATE, OLD_DEFLATE) else pack_lzw(raw) if code == LZW else pack_packbits_rows(raw, len(raw) // part.shape[0])
+                    offsets.append(len(out))
+                    counts.append(len(packed))
+                    out += packed
+        kind, offset = {"u": 1, "i": 2, "f": 3}[image.dtype.kind], 16 if wide else 4
+        tags = {WIDTH: (4, [width]), LENGTH: (4, [length]), BITS: (3, [size] * samples), COMPRESSION: (3, [code]), PHOTOMETRIC: (3, [1 if samples < 3 else 2]), SAMPLES: (3, [samples]), PLANAR: (3, [planar]), PREDICTOR: (3, [predictor])}
+        tags |= {TILE_WIDTH: (4, [w]), TILE_LENGTH: (4, [h]), TILE_OFFSETS: (offset, offsets), TILE_COUNTS: (4, counts)} if tile else {OFFSETS: (offset, offsets), ROWS_PER_STRIP: (4, [h]), COUNTS: (4, counts)}
+        tags |= {} if kind == 1 else {FORMAT: (3, [kind] * samples)}
         entries = []
-        for tag, (kind, values) in sorted(tags.items()):
-            raw = struct.pack(f"{order}{len(values)}{TYPES[kind][0]}", *values)
-            if len(raw) > 4:
+        for tag, (form, values) in sorted(tags.items()):
+            raw = struct.pack(f"{order}{len(values)}{TYPES[form][0]}", *values)
+            if len(raw) > place:
                 out += bytes(len(out) % 2)
-                raw, place = struct.pack(order + "I", len(out)), raw
-                out += place
-            entries.append(struct.pack(order + "HHI", tag, kind, len(values)) + raw.ljust(4, b"\0"))
+                raw, beside = struct.pack(word, len(out)), raw
+                out += beside
+            entries.append(struct.pack(head, tag, form, len(values)) + raw.ljust(place, b"\0"))
         out += bytes(len(out) % 2)
-        struct.pack_into(order + "I", out, link, len(out))
-        out += struct.pack(order + "H", len(entries)) + b"".join(entries)
+        struct.pack_into(word, out, link, len(out))
+        out += struct.pack(many, len(entries)) + b"".join(entries)
         link = len(out)
-        out += bytes(4)
+        out += bytes(place)
     return bytes(out)
 
 
@@ -266,11 +312,13 @@ def pack_packbits_rows(raw: bytes, width: int) -> bytes:
     return b"".join(pack_packbits(raw[at : at + width]) for at in range(0, len(raw), width))
 
 
-PAGE = "page int, width int, height int, samples int, bits int, pixels binary, error string"
+PAGE = "page int, width int, height int, samples int, bits int, format string, pixels binary, error string"
 
 
 def tiff_pages(files: DataFrame, column: str = "data") -> DataFrame:
-    """One row per page: the file's other columns, then page, width, height, samples, bits, pixels, error.
+    """One row per page: the file's other columns, then page, width, height, samples, bits, format, pixels, error.
+
+    pixels: row by row, samples of a pixel together, low bytes first, in `bits` bits (8 for less); format: uint, int or float.
 
     Null, empty or broken files: one row with the error and null pixels, after the pages that could be read. The files' own
     columns of those names are dropped.
@@ -287,15 +335,16 @@ def tiff_pages(files: DataFrame, column: str = "data") -> DataFrame:
                 for i, data in enumerate(batch.column(column).to_pylist()):
                     for n, image, error in pages(data):
                         at.append(i)
-                        rows.append((n, None, None, None, None, None, error) if image is None else (n, image.shape[1], image.shape[0], image.shape[2], image.dtype.itemsize * 8, image.tobytes(), None))
+                        rows.append((n, *[None] * 6, error) if image is None else (n, image.shape[1], image.shape[0], image.shape[2], image.dtype.itemsize * 8, KINDS[image.dtype.kind], image.tobytes(), None))
                 take = pa.array(at, pa.int64())
-                types = [pa.int32()] * 5 + [pa.binary(), pa.string()]
+                types = [pa.int32()] * 5 + [pa.string(), pa.binary(), pa.string()]
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in kept] + cols, [*kept, *names])
 
     return files.select(*kept, column).mapInArrow(read, schema)
 
 
+KINDS = {"u": "uint", "i": "int", "f": "float"}
 #: Words of a row of the stored picture; rows to a strip.
 ROW, STRIP = 64, 1024
 

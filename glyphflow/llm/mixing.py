@@ -51,13 +51,13 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))
 
 
-def permuted(df: DataFrame, x: str, n: str, key: str, rounds: int = 8) -> DataFrame:
-    """Column x replaced by its place in a pseudorandom permutation of 0 to n-1: each round swaps or keeps pairs that add up to a
-    key. A column a round, so that code is compiled for it; not nullable, as a test for null would be pushed through all rounds."""
-    for r in range(1, rounds + 1):
-        df = df.withColumn("_other", F.expr(f"pmod(pmod(xxhash64({key}, {r}), {n}) - {x}, {n})"))
-        df = df.withColumn(x, F.expr(f"coalesce(IF(xxhash64({key}, {r}, greatest({x}, _other)) % 2 = 0, {x}, _other), 0L)"))
-    return df.drop("_other")
+def permuted(x: str, n: str, key: str, rounds: int = 8) -> str:
+    """SQL for the place of x in a pseudorandom permutation of 0 to n-1: each round swaps or keeps pairs that add up to a key.
+
+    One expression, as columns that build on each other many times make the planner's work explode.
+    """
+    other = f"pmod(pmod(xxhash64({key}, r), {n}) - x, {n})"
+    return f"aggregate(sequence(1, {rounds}), {x}, (x, r) -> IF(xxhash64({key}, r, greatest(x, {other})) % 2 = 0, x, {other}))"
 
 
 class Mix:
@@ -98,8 +98,9 @@ class Mix:
         free = both.where("slot >= quota").select("id", F.expr("over_at + slot - quota").alias("nth"))
         open_ = short.where("under > 0").select("src", "had", "under_at", F.explode(F.expr("sequence(0L, under - 1)")).alias("j")).select("src", F.expr("had + j").alias("slot"), F.expr("under_at + j").alias("nth"))
         slots = both.where("slot < quota").select("id", "src", "slot").unionByName(free.join(open_, "nth").select("id", "src", "slot"))
-        slots = slots.join(self.quota.select("src", "blocks"), "src").withColumn("_key", F.expr(f"xxhash64({self.seed}, src, slot div blocks)")).withColumn("block", F.expr("slot % blocks"))
-        return permuted(slots, "block", "blocks", "_key").select(F.expr(f"id div {self.shard_blocks}").alias("shard"), "id", "src", "block", "blocks")
+        slots = slots.join(self.quota.select("src", "blocks"), "src").withColumn("_key", F.expr(f"xxhash64({self.seed}, src, slot div blocks)"))
+        block = permuted("slot % blocks", "blocks", "_key")
+        return slots.select(F.expr(f"id div {self.shard_blocks}").alias("shard"), "id", "src", F.expr(block).alias("block"), "blocks")
 
     def pieces(self) -> DataFrame:
         """(uid, size, src, block, offset, overlap): each document's words by the blocks that they lie in; a block is null where there are none."""

@@ -172,14 +172,14 @@ class Join:
         self.sets = written(one.withColumn("vid", F.monotonically_increasing_id()), "join-sets")
         posted = self.sets.select("vid", "n", F.posexplode("prefix").alias("pos", "token"))
         # Counted before they meet: a long list is only ever dealt out, in joins that Spark can split and in salted parts.
-        lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        lists = written(posted.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "join-lists")
         part = F.expr(f"pmod(xxhash64(vid), (rows + {LIST - 1}) div {LIST})")
         posted = posted.join(lists.hint("merge"), "token").select("token", part.alias("part"), "vid", "n", "pos", F.col("vid").alias("c"))
         posted = written(posted.join(self.sets.select("vid", *PARITY), "vid"), "join-posted")
         # Only postings that some other one of their n-gram passes all filters with that need no more than this.
         found = posted.alias("x").join(posted.alias("y"), F.expr(f"x.token = y.token AND {self.may('x', 'y')}"), "left_semi")
         self.shared = written(found.join(self.sets.select("vid", "below"), "vid"), "join-shared")
-        discard(posted)
+        discard(posted, lists)
         wanted = self.sets.join(self.shared.select("vid").distinct(), "vid", "left_semi").select("vid", "rep", "s1", "s2")
         self.texts = written(self.packed(wanted), "join-texts")
 
@@ -225,9 +225,10 @@ class Join:
         return f"({differ} <= {x}.n + {y}.n - {x}.pos - {y}.pos - 2 * ({self.least(f'{x}.n', f'{y}.n')} - least({x}.pos, {y}.pos)))"
 
     def mixed(self, roots: DataFrame) -> DataFrame:
-        """The postings of n-grams that join different components c."""
+        """The postings of n-grams that join different components c. Such n-grams are written before they are joined with, so that
+        the join is one that Spark can split or broadcast for."""
         posted = self.shared.drop("c").join(roots, F.col("vid") == F.col("v"), "left").withColumn("c", F.coalesce("root", "vid")).drop("v", "root")
-        tokens = posted.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
+        tokens = written(posted.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token"), "join-mixed")
         return posted.join(tokens, "token", "left_semi")
 
     def may(self, x: str, y: str) -> str:

@@ -46,25 +46,31 @@ def quotations(text: str) -> list[tuple[int, int]]:
 
 
 class Automaton:
-    """The Levenshtein automaton of a word: states are rows of distances, cut off above k."""
+    """The Levenshtein automaton of a word: a state has, for each number of edits up to k, the places reached, as bits."""
 
     def __init__(self, word: str, k: int):
-        self.word, self.k = word, k
+        self.k, self.end, self.at = k, 1 << len(word), {}
+        for i, c in enumerate(word):
+            self.at[c] = self.at.get(c, 0) | 1 << i
 
     def start(self) -> tuple[int, ...]:
-        return tuple(min(i, self.k + 1) for i in range(len(self.word) + 1))
+        return tuple((1 << e + 1) - 1 for e in range(self.k + 1))
 
     def step(self, state: tuple[int, ...], char: str) -> tuple[int, ...]:
-        out = [min(state[0] + 1, self.k + 1)]
-        for i, c in enumerate(self.word):
-            out.append(min(state[i] + (c != char), state[i + 1] + 1, out[i] + 1, self.k + 1))
+        """Along an equal letter; an edit more: another letter, one that the word hasn't, or one of the word's left out."""
+        same, whole = self.at.get(char, 0), 2 * self.end - 1
+        out, below, now = [], 0, 0
+        for reached in state:
+            now = (reached & same) << 1 | below << 1 | below | now << 1
+            out.append(now := now & whole)
+            below = reached
         return tuple(out)
 
     def alive(self, state: tuple[int, ...]) -> bool:
-        return min(state) <= self.k
+        return state[-1] > 0
 
     def accepts(self, state: tuple[int, ...]) -> bool:
-        return state[-1] <= self.k
+        return state[-1] & self.end > 0
 
 
 class Lexicon:
@@ -79,13 +85,20 @@ class Lexicon:
             for c in text:
                 node = node.setdefault(c, {})
             node[""] = n
-        # An edit leaves one half of a term as it is, at the start or the end of the word: only such words are walked.
-        halves = [(t[: len(t) // 2], t[len(t) // 2 :]) for t, stem, _ in terms if not stem and len(t) >= FUZZY_FROM]
-        either = [f"^(?:{'|'.join(map(re.escape, sorted({h for h, _ in halves})))})", f"(?:{'|'.join(map(re.escape, sorted({t for _, t in halves})))})$"] if halves and k else ["(?!)"]
-        self.gate = re.compile("|".join(either)).search
+        # An edit leaves one half of a term as it is, at the start or the end of a word of about its length: only such are walked.
+        self.halves: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        for t in (t for t, stem, _ in terms if k and not stem and len(t) >= FUZZY_FROM):
+            for known, half in zip(self.halves, (t[: len(t) // 2], t[len(t) // 2 :]), strict=True):
+                known[half] = known.get(half, 0) | 7 << len(t) - 1
+        self.sizes = tuple(sorted({len(h) for h in known}) for known in self.halves)
         self.letters = {"".join(sorted(t)) for t, stem, _ in terms if k and not stem and len(t) >= FUZZY_FROM}
         self.known: dict[str, tuple[int, bool] | None] = {}
 
+    def gate(self, word: str) -> bool:
+        first, last = self.halves
+        n = len(word)
+        return any(first.get(word[:i], 0) >> n & 1 for i in self.sizes[0]) or any(last.get(word[n - i :], 0) >> n & 1 for i in self.sizes[1] if i <= n)
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}  # what this process has met stays here
 
