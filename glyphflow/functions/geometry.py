@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .f32 import div, f, sqrt, to_uint
+from .f32 import U32, div, f, sqrt, to_uint
 
 #: The side that sizes are cut to, the recogniser's height, its least width over height.
 STEP, REC_HEIGHT, LEAST_RATIO = 32, 48, "CAST(320 AS FLOAT) / CAST(48 AS FLOAT)"
+#: Points of a border and shortest edges of a box before and after it is grown, at least. Fixed values.
+LEAST_POINTS, LEAST_EDGE, LEAST_GROWN = 3, 3.0, 5.0
 
 
 def target_side(w: str, h: str, max_side: int, padding: int) -> str:
@@ -23,8 +25,10 @@ def scale_param(w: str, h: str, target: str) -> Column:
     A side that isn't a multiple is at least 32; a side of 0 stays 0.
     """
     ratio = f"CASE WHEN {w} > {h} THEN {div(target, w)} ELSE {div(target, h)} END"
-    cut = lambda side: f"CASE WHEN ({side}) % {STEP} = 0 THEN ({side}) ELSE greatest({STEP}, ({side}) div {STEP} * {STEP}) END"
-    dw, dh = (cut(to_uint(f"{f(side)} * {ratio}")) for side in (w, h))
+    # Sides are whole and not negative: the product is only cut, and what lies below 32 but above 0 becomes 32.
+    whole = lambda side: f"CAST(least({f(side)} * {ratio}, CAST({U32} AS FLOAT)) AS BIGINT)"
+    cut = lambda side: f"({whole(side)} - {whole(side)} % {STEP} + IF({whole(side)} BETWEEN 1 AND {STEP - 1}, {STEP}, 0))"
+    dw, dh = cut(w), cut(h)
     return F.expr(f"named_struct('src_w', CAST({w} AS BIGINT), 'src_h', CAST({h} AS BIGINT), 'dst_w', {dw}, 'dst_h', {dh}, 'scale_w', {div(dw, w)}, 'scale_h', {div(dh, h)})")
 
 
@@ -35,29 +39,45 @@ def edge(points: str, i: int, j: int) -> str:
 
 
 def box_order(points: str) -> Column:
-    """Corners as top left, top right, bottom right, bottom left: two pairs by x, in the order given where x is equal."""
-    by_x = f"array_sort(transform({points}, (p, i) -> named_struct('x', p.x, 'i', i, 'y', p.y)))"
-    return F.expr(
-        f"transform(array({by_x}), s -> transform(array(IF(s[1].y > s[0].y, s[0], s[1]), IF(s[3].y > s[2].y, s[2], s[3]), IF(s[3].y > s[2].y, s[3], s[2]), IF(s[1].y > s[0].y, s[1], s[0])), p -> named_struct('x', p.x, 'y', p.y)))[0]"
-    )
+    """Corners as top left, top right, bottom right, bottom left: two pairs by x, in the order given where x is equal.
 
+    A corner's place by x is the number of corners that come before it, so that four of them need no sort.
+    """
+    at = lambda i: f"({' + '.join(f'IF({points}[{j}].x < {points}[{i}].x' + (f' OR {points}[{j}].x = {points}[{i}].x' if j < i else '') + ', 1, 0)' for j in range(4) if j != i)})"
+    nth = lambda n, axis: "CASE " + " ".join(f"WHEN {at(i)} = {n} THEN {points}[{i}].{axis}" for i in range(3)) + f" ELSE {points}[3].{axis} END"
+    s = [{axis: nth(n, axis) for axis in "xy"} for n in range(4)]
+    low_left, low_right = f"({s[1]['y']}) > ({s[0]['y']})", f"({s[3]['y']}) > ({s[2]['y']})"
+    one = lambda first, a, b: "named_struct(" + ", ".join(f"'{axis}', IF({first}, {s[a][axis]}, {s[b][axis]})" for axis in "xy") + ")"
+    return F.expr(f"array({one(low_left, 0, 1)}, {one(low_right, 2, 3)}, {one(low_right, 3, 2)}, {one(low_left, 1, 0)})")
+
+
+def signed_area(points: str, corners: int | None = None) -> Column:
+    """The sum of trapezoids in 32 bits, point by point. corners: how many points there are, where that is known."""
+
+    def part(i: str, nxt: str) -> str:
+        dx, sy = f"({f(f'{points}[{nxt}].x')} - {f(f'{points}[{i}].x')})", f"({f(f'{points}[{nxt}].y')} + {f(f'{points}[{i}].y')})"
+        return f(f"{f(f'{dx} * {sy}')} / 2")
 
-def signed_area(points: str) -> Column:
-    """The sum of trapezoids in 32 bits, point by point."""
-    nxt = f"{points}[(i + 1) % size({points})]"
-    dx, sy = f"({f(f'{nxt}.x')} - {f(f'{points}[i].x')})", f"({f(f'{nxt}.y')} + {f(f'{points}[i].y')})"
-    return F.expr(f"aggregate(sequence(0, size({points}) - 1), CAST(0 AS FLOAT), (a, i) -> CAST(a + {f(f'{f(f"{dx} * {sy}")} / 2')} AS FLOAT))")
+    if corners is None:
+        return F.expr(f"aggregate(sequence(0, size({points}) - 1), CAST(0 AS FLOAT), (a, i) -> CAST(a + {part('i', f'(i + 1) % size({points})')} AS FLOAT))")
+    out = f("0")
+    for i in range(corners):
+        out = f(f"{out} + {part(str(i), str((i + 1) % corners))}")
+    return F.expr(out)
 
 
-def perimeter(points: str) -> Column:
+def perimeter(points: str, corners: int | None = None) -> Column:
     """The closed length in 64 bits; 0 without points."""
-    d = lambda axis: f"(CAST({points}[(i + 1) % size({points})].{axis} AS DOUBLE) - CAST({points}[i].{axis} AS DOUBLE))"
-    return F.expr(f"IF(size({points}) = 0, 0D, aggregate(sequence(0, greatest(0, size({points}) - 1)), 0D, (a, i) -> a + sqrt({d('x')} * {d('x')} + {d('y')} * {d('y')})))")
+    d = lambda i, nxt, axis: f"(CAST({points}[{nxt}].{axis} AS DOUBLE) - CAST({points}[{i}].{axis} AS DOUBLE))"
+    part = lambda i, nxt: f"sqrt({d(i, nxt, 'x')} * {d(i, nxt, 'x')} + {d(i, nxt, 'y')} * {d(i, nxt, 'y')})"
+    if corners is None:
+        return F.expr(f"IF(size({points}) = 0, 0D, aggregate(sequence(0, greatest(0, size({points}) - 1)), 0D, (a, i) -> a + {part('i', f'(i + 1) % size({points})')}))")
+    return F.expr(" + ".join(["0D", *(part(str(i), str((i + 1) % corners)) for i in range(corners))]))
 
 
 def offset_distance(points: str, ratio: float) -> Column:
     """How far a box grows: area by ratio over perimeter, in 32 bits but for the perimeter's sum; null if both edges are under 1.001."""
-    area, length = F.abs(signed_area(points)), perimeter(points).cast("float")
+    area, length = F.abs(signed_area(points, 4)), perimeter(points, 4).cast("float")
     tiny = F.expr(f"{edge(points, 0, 1)} < CAST(1.001 AS FLOAT) AND {edge(points, 1, 2)} < CAST(1.001 AS FLOAT)")
     return F.when(~tiny, ((area * F.lit(ratio).cast("float")).cast("float") / length).cast("float"))
 
@@ -68,10 +88,16 @@ def rescaled(points: str, scale: str) -> Column:
     return F.expr(f"transform({points}, p -> named_struct('x', {at('x', 'w')}, 'y', {at('y', 'h')}))")
 
 
-def unpadded(points: str, padding: int) -> Column:
-    """Points without the margin, not below 0; nothing holds them to the picture's far sides."""
-    at = lambda axis: to_uint(f(f"{f(f'p.{axis}')} - {f(str(padding))}"))
-    return F.expr(f"transform({points}, p -> named_struct('x', {at('x')}, 'y', {at('y')}))")
+def unpadded(points: str, padding: int) -> str:
+    """SQL: points without the margin, not below 0; nothing holds them to the picture's far sides."""
+    at = lambda axis: to_uint(f(f"{f(f'_p.{axis}')} - {f(str(padding))}"))
+    return f"transform({points}, _p -> named_struct('x', {at('x')}, 'y', {at('y')}))"
+
+
+def passes(points: str, edge: str, score: str, grown: str, thresh: float) -> str:
+    """SQL: a border of so many points becomes a box: its shorter edge, its score (NaN passes) and its grown box's shorter edge are
+    large enough."""
+    return f"({points} > {LEAST_POINTS - 1} AND {edge} >= {f(repr(LEAST_EDGE))} AND (isnan({score}) OR {score} >= {f(repr(thresh))}) AND {grown} >= {f(repr(LEAST_GROWN))})"
 
 
 def crop_plan(points: str) -> Column:
@@ -87,11 +113,6 @@ def width_ratio(w: str, h: str) -> str:
     return div(w, f"greatest({h}, 1)")
 
 
-def max_width_ratio(crops: str) -> Column:
-    """The largest width over height of a picture's crops (array<struct<w, h>>), 320 to 48 at least."""
-    return F.expr(f"aggregate({crops}, {f(LEAST_RATIO)}, (a, c) -> greatest(a, {width_ratio('c.w', 'c.h')}))")
-
-
 def rec_widths(w: str, h: str, ratio: str) -> tuple[str, str]:
     """SQL: the width of a crop at the recogniser's height, and the width that it is padded to."""
     resized = f"CAST(ceil({f(f'{f(w)} * {div(str(REC_HEIGHT), h)}')}) AS BIGINT)"

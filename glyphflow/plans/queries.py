@@ -6,16 +6,18 @@ The tables hold no pictures: sizes, boxes, scores and maps are made from their c
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphflow.functions import display, geometry, reading
-from glyphflow.functions.f32 import div, f
-from glyphflow.operators import contours
-from glyphflow.plans.pipeline import OcrPipeline
-from glyphflow.schema import IMAGE
+from glyphflow.functions.f32 import f
+from glyphflow.operators import contours, detect
+from glyphflow.plans.pipeline import OcrPipeline, assembled, text_blocks
+from glyphflow.schema import IMAGE, OcrOptions
 from glyphflow.sources import standin
 from glyphflow.sources.images import struct_of
 
@@ -88,14 +90,15 @@ def ctc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT vec_id, label, CASE WHEN embedding[2] > embedding[1] THEN 1 ELSE 0 END AS i, CASE WHEN embedding[2] > embedding[1] THEN embedding[2] ELSE embedding[1] END AS score FROM embeddings)
-SELECT vec_id, label, i::INT AS own_index, CASE WHEN sum(i) OVER (PARTITION BY label) < count(*) OVER (PARTITION BY label) / 2 THEN 0 ELSE 1 END::INT AS index, score::FLOAT AS score FROM a
+WITH a AS (SELECT vec_id, CASE WHEN embedding[2] > embedding[1] THEN 1 ELSE 0 END AS i, CASE WHEN embedding[2] > embedding[1] THEN embedding[2] ELSE embedding[1] END AS score FROM embeddings)
+SELECT vec_id, i::INT AS own_index, CASE WHEN sum(i) OVER (PARTITION BY vec_id // 8) < count(*) OVER (PARTITION BY vec_id // 8) / 2 THEN 0 ELSE 1 END::INT AS index, score::FLOAT AS score FROM a
 """)
 def angle_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels stand for pictures. Sums over a label are combined before they are shuffled, and joined back."""
-    d = read(spark, sf_dir, "embeddings").select("vec_id", "label", reading.angle("embedding").alias("a"))
-    votes = d.groupBy("label").agg(F.sum("a.index").alias("ones"), F.count(F.lit(1)).alias("n")).select("label", F.expr("IF(ones < n / 2, 0, 1)").alias("index"))
-    return d.join(votes, "label").select("vec_id", "label", F.col("a.index").alias("own_index"), "index", F.col("a.score").alias("score"))
+    """Eight vectors stand for the crops of a picture, which is one array: so many at most meet in a group."""
+    d = read(spark, sf_dir, "embeddings").select("vec_id", reading.angle("embedding").alias("a"))
+    pages = d.groupBy(F.expr("vec_id div 8").alias("page")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "a.index", "a.score"))).alias("crops"))
+    pages = pages.withColumn("angles", F.expr("transform(crops, c -> named_struct('index', c.index, 'score', c.score))")).withColumn("most", reading.most_angle("angles"))
+    return pages.select(F.explode(F.arrays_zip("crops", "most")).alias("x")).selectExpr("x.crops.vec_id", "x.crops.index AS own_index", "x.most.index", "x.most.score")
 
 
 @query("""
@@ -135,6 +138,70 @@ def det_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.mapInPandas(trace, "vec_id long, first_pixel long, min_x long, min_y long, max_x long, max_y long")
 
 
+def by_map(spark: SparkSession, sf_dir: str, schema: str, rows_of: Callable[[pd.Series], list[tuple]]) -> DataFrame:
+    """What a kernel makes of each 8 x 8 map, which is one row."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame([r for row in part.itertuples(index=False) for r in rows_of(row)], columns=[x.split()[0] for x in schema.split(", ")])
+
+    d = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.expr(MAP).alias("p"), F.expr(f"transform({MAP}, p -> {geometry.quantised('p')})").alias("q"))
+    return d.mapInPandas(run, schema)
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+full_ AS (SELECT vec_id, k // 8 + 1 AS y, k % 8 + 1 AS x FROM e WHERE trunc(greatest(0, least(255, ((v + 0.5::FLOAT)::FLOAT * 255::FLOAT)::FLOAT))) > 150),
+g AS (SELECT vec_id, y, x, y * 10 + x AS k FROM (SELECT DISTINCT vec_id FROM embeddings), range(10) a(y), range(10) b(x)),
+m AS (SELECT g.* FROM g ANTI JOIN full_ USING (vec_id, y, x)),
+c AS (SELECT vec_id, y, x, k AS root FROM m UNION SELECT m.vec_id, m.y, m.x, c.root FROM c JOIN m ON m.vec_id = c.vec_id AND abs(m.y - c.y) + abs(m.x - c.x) = 1 AND m.k > c.root),
+l AS (SELECT vec_id, y, x, min(root) AS root FROM c GROUP BY ALL)
+SELECT vec_id, (count(DISTINCT root) - 1)::BIGINT AS n_holes FROM l GROUP BY vec_id
+""")
+def det_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many borders of a map go around holes: each is a part of the empty pixels that doesn't reach the edge."""
+    return by_map(spark, sf_dir, "vec_id long, n_holes long", lambda r: [(r.vec_id, sum(not outer for outer, _ in contours.borders((r.q > 150).reshape(8, 8))))])
+
+
+#: A rectangle in each map, by its first and last column and row.
+INSIDE = ("label % 3", "least(7, label % 3 + 1 + vec_id % 5)", "vec_id % 4", "least(7, vec_id % 4 + 1 + label % 4)")
+
+
+@query(f"""
+WITH e AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+m AS (SELECT vec_id, k, (v + 0.5::FLOAT)::FLOAT AS p FROM e WHERE k % 8 BETWEEN {INSIDE[0]} AND {INSIDE[1]} AND k // 8 BETWEEN {INSIDE[2]} AND {INSIDE[3]}),
+g AS (SELECT vec_id, list(p ORDER BY k) AS ps FROM m GROUP BY vec_id)
+SELECT vec_id, (list_reduce(list_prepend(0::FLOAT, ps), lambda a, x: (a + x)::FLOAT)::FLOAT / len(ps)::FLOAT)::FLOAT AS score FROM g
+""")
+def border_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean inside a border that is followed around a rectangle, filled as a polygon."""
+
+    def one(r) -> list[tuple]:
+        x0, x1, y0, y1 = r.label % 3, min(7, r.label % 3 + 1 + r.vec_id % 5), r.vec_id % 4, min(7, r.vec_id % 4 + 1 + r.label % 4)
+        mask = np.zeros((8, 8), np.uint8)
+        mask[y0 : y1 + 1, x0 : x1 + 1] = 1
+        ((_, points),) = contours.borders(mask)
+        return [(r.vec_id, float(detect.border_score(points, np.asarray(r.p, np.float32).reshape(8, 8))))]
+
+    return by_map(spark, sf_dir, "vec_id long, score float", one)
+
+
+@query("""
+WITH p AS (SELECT vec_id, 3 + vec_id % 40 AS w, 2 + label % 7 AS h, vec_id % 11 AS x, label AS y FROM embeddings)
+SELECT vec_id, x::FLOAT AS x0, y::FLOAT AS y0, (x + w)::FLOAT AS x1, y::FLOAT AS y1, (x + w)::FLOAT AS x2, (y + h)::FLOAT AS y2, x::FLOAT AS x3, (y + h)::FLOAT AS y3, least(w, h)::FLOAT AS edge FROM p
+""")
+def smallest_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest rectangle around points on and in an upright one, in any order: its corners in order, and its shorter edge."""
+
+    def one(r) -> list[tuple]:
+        w, h, x, y = 3 + r.vec_id % 40, 2 + r.label % 7, r.vec_id % 11, r.label
+        around = [(x + w, y + h), (x, y), (x + w // 2, y + h // 2), (x + w, y), (x, y + h), (x + 1, y), (x, y + 1), (x + w, y + h - 1)]
+        box, edge = contours.smallest_box(np.roll(around, r.vec_id % 8, axis=0))
+        return [(r.vec_id, *map(float, box.ravel()), edge)]
+
+    return by_map(spark, sf_dir, "vec_id long, x0 float, y0 float, x1 float, y1 float, x2 float, y2 float, x3 float, y3 float, edge float", one)
+
+
 @query("""
 SELECT vec_id, CASE WHEN embedding[2] > embedding[1] AND (isnan(embedding[3]) OR embedding[3] < 0.1::FLOAT) THEN embedding[4] ELSE embedding[3] END::FLOAT AS score,
 (embedding[2] > embedding[1] AND (isnan(embedding[3]) OR embedding[3] < 0.1::FLOAT)) AS again FROM embeddings
@@ -179,7 +246,7 @@ SELECT l_orderkey, l_linenumber, area::FLOAT AS area, perimeter::DOUBLE AS perim
 """)
 def unclip_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", *SIZES).withColumn("p", F.expr(RECT))
-    return d.select("l_orderkey", "l_linenumber", F.abs(geometry.signed_area("p")).alias("area"), geometry.perimeter("p").alias("perimeter"), geometry.offset_distance("p", 1.6).alias("distance"))
+    return d.select("l_orderkey", "l_linenumber", F.abs(geometry.signed_area("p", 4)).alias("area"), geometry.perimeter("p", 4).alias("perimeter"), geometry.offset_distance("p", 1.6).alias("distance"))
 
 
 @query("""
@@ -201,7 +268,7 @@ WHERE n > 2 AND edge >= 3 AND (isnan(score) OR score >= 0.5::FLOAT) AND grown >=
 def box_filter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NaN scores stay, as they aren't below the threshold."""
     d = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_orderkey % 9 AS n", "CAST(l_partkey % 70 / 10.0 AS FLOAT) AS edge", "IF(l_suppkey % 11 = 0, CAST('NaN' AS FLOAT), CAST(l_discount AS FLOAT) * CAST(10 AS FLOAT)) AS score", "CAST(l_partkey % 90 / 10.0 AS FLOAT) AS grown")
-    return d.where(f"n > 2 AND edge >= 3 AND (isnan(score) OR score >= {f('0.5')}) AND grown >= 5").select("l_orderkey", "l_linenumber")
+    return d.where(geometry.passes("n", "edge", "score", "grown", 0.5)).select("l_orderkey", "l_linenumber")
 
 
 SCALED = "named_struct('scale_w', CAST(0.7 AS FLOAT), 'scale_h', CAST(1.3 AS FLOAT), 'src_w', 100L, 'src_h', 60L)"
@@ -218,7 +285,7 @@ def rescale_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"trunc(greatest(0, (({c})::FLOAT - 50::FLOAT)::FLOAT))::BIGINT AS {a}{i}" for i, p in enumerate(CORNERS) for c, a in zip(p, "xy", strict=True)) + " FROM lineitem")
 def unpad_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(points()).alias("p"))
-    return d.withColumn("b", geometry.unpadded("p", 50)).select("l_orderkey", "l_linenumber", *corner_columns("b"))
+    return d.withColumn("b", F.expr(geometry.unpadded("p", 50))).select("l_orderkey", "l_linenumber", *corner_columns("b"))
 
 
 def _length(i: int, j: int) -> str:
@@ -272,8 +339,6 @@ l AS ({CTC_SQL}), b AS (SELECT vec_id, label, (floor(embedding[6] * 8) / 8)::FLO
 
 @query(f"WITH {RESULT_SQL} SELECT vec_id, 0::INT AS block_index, vec_id AS x, label::BIGINT AS y, box_score, angle_index::INT AS angle_index, angle_score, text, text_score FROM b")
 def result_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from glyphflow.plans.pipeline import text_blocks
-
     d = text_blocks(results(spark, sf_dir))
     return d.selectExpr("vec_id", "block_index", "box_points[0].x AS x", "box_points[0].y AS y", "box_score", "angle_index", "angle_score", "text", "text_score")
 
@@ -285,6 +350,23 @@ def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.selectExpr("vec_id", "size(back) AS n_blocks", "back[0].box_points[0].x AS x", "back[0].angle_index AS angle_index", "back[0].text AS text", "back[0].text_score AS text_score")
 
 
+@query(f"""
+WITH {RESULT_SQL} SELECT vec_id, i::INT AS block_index, greatest(0, vec_id + i * 10 - 50) AS x, greatest(0, label * 30 - 50)::BIGINT AS y, box_score, ((angle_index + i) % 2)::INT AS angle_index, angle_score, text || i AS text, text_score FROM b, range(2) r(i)
+""")
+def result_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes, angles and lines of a picture put together by place, without the margin, as the pipeline does."""
+    one = results(spark, sf_dir).select("vec_id", "label", F.col("text_blocks")[0].alias("b"))
+    two = lambda x: F.expr(f"transform(sequence(0, 1), i -> {x})")
+    parts = one.select(
+        "vec_id",
+        two("named_struct('points', array(named_struct('x', vec_id + i * 10, 'y', CAST(label * 30 AS BIGINT))), 'score', b.box_score)").alias("boxes"),
+        two("named_struct('index', (b.angle_index + i) % 2, 'score', b.angle_score)").alias("angles"),
+        two("named_struct('text', concat(b.text, i), 'text_score', b.text_score)").alias("lines"),
+    )
+    d = text_blocks(parts.withColumn("text_blocks", assembled(50)).select("vec_id", "text_blocks"))
+    return d.selectExpr("vec_id", "block_index", "box_points[0].x AS x", "box_points[0].y AS y", "box_score", "angle_index", "angle_score", "text", "text_score")
+
+
 def _shown(x: str) -> str:
     return f"regexp_replace({x}::VARCHAR, '\\.0$', '')"
 
@@ -294,28 +376,78 @@ def result_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(spark, sf_dir).select("vec_id", display.result_text("text_blocks").alias("shown"))
 
 
-EXPECTED = "upper(substr(regexp_replace(text, '[^A-Za-z0-9]', ''{flag}), 1, 12))"
+#: Whole names and numbers of suppliers, a line each, in the letters that the stand-in networks know.
+LINES = ("s_name", "CAST(s_suppkey * 7919 AS {text})", "CAST(CAST(abs(floor(s_acctbal)) AS BIGINT) AS {text})")
+
+
+def line_columns(text: str, flag: str = "") -> list[str]:
+    return [f"upper(regexp_replace({x.format(text=text)}, '[^A-Za-z0-9]', ''{flag}))" for x in LINES]
 
 
 def rendered(spark: SparkSession, sf_dir: str, turned: bool = False) -> DataFrame:
-    """doc_id, image, expected: each document's first twelve letters and digits as a picture."""
+    """s_suppkey, image: each supplier's lines as a page."""
 
     def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for at in range(0, len(part), 64):
                 some = part.iloc[at : at + 64]
-                yield some.assign(image=[struct_of(standin.drawn([x], turned)) for x in some["expected"]])
+                yield some[["s_suppkey"]].assign(image=[struct_of(standin.drawn(list(x), turned)) for x in some["lines"]])
+
+    d = read(spark, sf_dir, "supplier").selectExpr("s_suppkey", f"array({', '.join(line_columns('STRING'))}) AS lines")
+    d = d.repartition(4 * spark.sparkContext.defaultParallelism, "s_suppkey")  # a few bytes become a picture: share them out before
+    return d.mapInPandas(draw, f"s_suppkey long, image {IMAGE}")
 
-    d = read(spark, sf_dir, "documents").selectExpr("doc_id", EXPECTED.format(flag="") + " AS expected").where("expected <> ''")
-    d = d.repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")  # a few bytes become a picture: share them out before
-    return d.mapInPandas(draw, f"doc_id long, expected string, image {IMAGE}")
 
+def lines_read(blocks: DataFrame, placed: bool = True) -> DataFrame:
+    """A row a line from top to bottom; near: all four corners are within NEAR pixels of the line's strip, grown as far as boxes are."""
+    top = "array_min(transform(b.box_points, p -> p.y))"
+    ordered = F.expr(f"array_sort(transform(text_blocks, b -> named_struct('top', {top}, 'b', b)), (l, r) -> IF(l.top < r.top, -1, 1))")
+    d = blocks.select("s_suppkey", F.size("text_blocks").alias("n_blocks"), F.posexplode(ordered).alias("line", "o")).select("s_suppkey", "n_blocks", "line", "o.b.*")
+    w, h = f"(greatest(4, length(text)) * {standin.CELL})", standin.HEIGHT
+    y, grown = f"({standin.MARGIN} + line * {h + 3 * standin.MARGIN})", f"({w} * {h} * 1.6D / (2 * ({w} + {h})))"
+    low = lambda v: f"greatest(0, {v} - {grown})"
+    right, bottom = f"({standin.MARGIN} + {w} + {grown})", f"({y} + {h} + {grown})"
+    corners = ((low(standin.MARGIN), low(y)), (right, low(y)), (right, bottom), (low(standin.MARGIN), bottom))
+    near = " AND ".join(f"abs(box_points[{i}].x - {x}) <= {NEAR} AND abs(box_points[{i}].y - {y}) <= {NEAR}" for i, (x, y) in enumerate(corners))
+    return d.selectExpr("s_suppkey", "n_blocks", "line", "text", "angle_index", *([f"{near} AS near", "box_score > 0.9 AND text_score > 0.9 AS sure"] if placed else []))
 
-@query(f"SELECT doc_id, {EXPECTED.format(flag=chr(44) + chr(39) + 'g' + chr(39))} AS text, 1::INT AS n_blocks FROM documents WHERE {EXPECTED.format(flag=chr(44) + chr(39) + 'g' + chr(39))} <> ''")
+
+#: Pixels that a corner may be off: resizing and the border's own width.
+NEAR = 5
+
+
+def lines_sql(angle: int, more: str = "") -> str:
+    parts = " UNION ALL ".join(f"SELECT s_suppkey, 3::INT AS n_blocks, {i}::INT AS line, {x} AS text, {angle}::INT AS angle_index{more} FROM supplier" for i, x in enumerate(line_columns("VARCHAR", ", 'g'")))
+    return parts
+
+
+@query(lines_sql(0, ", TRUE AS near, TRUE AS sure"))
 def ocr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pictures of texts through the whole pipeline with the stand-in networks."""
-    out = OcrPipeline(standin.StandInModels()).detect(rendered(spark, sf_dir))
-    return out.selectExpr("doc_id", "array_join(transform(text_blocks, b -> b.text), ' ') AS text", "size(text_blocks) AS n_blocks")
+    """Pages of lines through the whole pipeline with the stand-in networks."""
+    return lines_read(OcrPipeline(standin.StandInModels()).detect(rendered(spark, sf_dir)))
+
+
+@query(lines_sql(1))
+def ocr_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages upside down: each line is found turned by the classifier, confirmed by the vote, and read after half a turn. From
+    below, the last line comes first."""
+    d = OcrPipeline(standin.StandInModels()).detect(rendered(spark, sf_dir, True), OcrOptions(do_angle=True, most_angle=True))
+    return lines_read(d, placed=False).withColumn("line", (F.col("n_blocks") - 1 - F.col("line")).cast("int"))
+
+
+@dataclass(frozen=True)
+class TurnsAll(standin.StandInModels):
+    """A classifier that turns what stands upright."""
+
+    def classifier(self):
+        return turn
+
+
+def turn(x: np.ndarray) -> np.ndarray:
+    return np.array([[0.1, 0.9]], np.float32)
 
 
-__all__ = ["QUERIES", "SQL", "div"]
+@query(lines_sql(1))
+def ocr_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that were turned by mistake read badly and are read again as they were; the angle stays."""
+    return lines_read(OcrPipeline(TurnsAll()).detect_angle_rollback(rendered(spark, sf_dir), OcrOptions(do_angle=True), 0.99), placed=False)

@@ -17,7 +17,7 @@ def plain(v):
 def test_query_equals_its_sql(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     c = duckdb.connect()
-    for t in ("lineitem", "embeddings", "documents"):
+    for t in ("lineitem", "embeddings", "documents", "supplier"):
         c.sql(f"CREATE VIEW {t} AS FROM '{sf_dir}/{t}.parquet'")
     result = c.sql(SQL[name])
     assert sorted(result.columns) == sorted(df.columns)
