@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, table, written
 
-#: Within a source, documents are ordered by part, then by id: positions are two sums, neither over a whole source at once.
+#: Within a source, documents are ordered by part, a hash of id and text, then by id: positions are two sums, neither over a whole
+#: source at once, and null ids are spread as well.
 PARTS = 4096
 #: Slots that are numbered together before a source's groups of slots are; cells that draws look their source up in.
 GROUP, GRID = 1 << 16, 4096
@@ -64,7 +65,7 @@ class Mix:
     """The steps over written rows of uid, source, src, size, and doc_id and sign, which order them."""
 
     def __init__(self, rows: DataFrame, block_words: int, shard_blocks: int, weights: tuple[int, ...], most: int, seed: int):
-        self.rows, self.block_words, self.shard_blocks, self.seed = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")), block_words, shard_blocks, seed
+        self.rows, self.block_words, self.shard_blocks, self.seed = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "sign"), F.lit(PARTS)).cast("int")), block_words, shard_blocks, seed
         quota = targets(rows, weights, most).withColumn("blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
         slots = F.expr(f"IF(source_size = 0, 0L, least({most} * blocks, cast(round(target * blocks / source_size) AS bigint)))")
         quota = quota.withColumn("quota", slots)

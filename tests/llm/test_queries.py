@@ -1,5 +1,8 @@
 """The queries over the driver's smallest tables, their SQL, and the pipeline stage by stage."""
 
+import hashlib
+import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -8,10 +11,10 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from glyphflow.llm import bpe, mixing, ngram_join, pii
+from glyphflow.llm import bpe, licenses, media, mixing, ngram_join, pii
 from glyphflow.llm.queries import QUERIES, SQL
 
-from .test_operators import brute_join
+from .test_operators import PATTERNS, brute_join, brute_spans
 
 COLUMNS = {
     1: "doc_id held_out n_tokens n_known train_tokens base_score score",
@@ -45,6 +48,69 @@ def test_queries(spark, sf_dir, n):
         assert Counter(tuple(r[i] for i in at) for r in result.fetchall()) == rows
 
 
+def documents(spark, sf_dir):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+
+def rows_of(spark, sf_dir, n):
+    (name,) = (q for q in QUERIES if q.startswith(f"op{n}_"))
+    return {r.doc_id: r for r in QUERIES[name](spark, sf_dir).collect()}
+
+
+def test_op2_is_near_its_targets(spark, sf_dir):
+    sources = {r.doc_id: r.source for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    taken, target = Counter(), {}
+    for i, r in rows_of(spark, sf_dir, 2).items():
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[sources[i]] += r.taken
+        target[sources[i]] = r.target
+    assert all(abs(taken[s] - t) <= 1.5 * 128 for s, t in target.items()) and sum(target.values()) == pytest.approx(sum(taken.values()), rel=0.1)
+
+
+def test_op4_against_brute_force(spark, sf_dir):
+    texts = documents(spark, sf_dir)
+    for i, r in rows_of(spark, sf_dir, 4).items():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[i]))
+        hits = sorted((k, label) for label, p in licenses.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+        labels = sorted({label for _, label in hits})
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(hits), hits[0][0] if hits else None, hits[-1][0] if hits else None, ",".join(labels))
+        found = r.labels.split(",") if r.labels else []
+        assert found == sorted(set(found)) and set(labels) <= set(found) and 0 <= r.score <= 1 and (r.score > 0) == bool(found)
+
+
+def test_op6_against_brute_force(spark, sf_dir):
+    texts, seen = documents(spark, sf_dir), {}
+    for i, r in rows_of(spark, sf_dir, 6).items():
+        raw = texts[i].encode()
+        padded = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        x = np.frombuffer(padded, np.uint8).astype(object)
+        n, total, squares = len(x), int(x.sum()), int((x * x).sum())
+        feature = f"64x{n // 64} mean {1000 * total // n} var {1000 * (squares * n - total * total) // (n * n)} values {len(set(padded))}"
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) == (len(raw), n, hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), feature)
+        stored = media.text_tiff(texts[i])[1]
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert seen.setdefault(texts[i], tuple(r)[1:]) == tuple(r)[1:]
+
+
+def test_op7_on_the_fold_that_it_has_not_seen(spark):
+    """The driver's own labels, of which a third were kept from the model."""
+    sf_dir = "/root/testdata/sf0.01"
+    rows, labels = rows_of(spark, sf_dir, 7), {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    held = [(labels[i], r.predicted) for i, r in rows.items() if r.held_out and labels.get(i) is not None]
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for i, r in rows.items())
+    hit = sum(t and p for t, p in held)
+    assert hit >= 0.7 * sum(t for t, _ in held) > 0 and hit >= 0.9 * sum(p for _, p in held)
+
+
+def test_op9_against_brute_force(spark, sf_dir):
+    texts, kinds = documents(spark, sf_dir), list(PATTERNS)
+    for i, r in rows_of(spark, sf_dir, 9).items():
+        base = sorted(brute_spans(texts[i]), key=lambda s: (kinds.index(s[0]), s[1]))
+        shown = [f"{k}:{s}:{e}" for k, s, e in base]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, *_ in base) for kind in kinds]
+        assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest() and set(shown) <= set(r.spans.split(",") if r.spans else [])
+
+
 def test_ann_recall_against_brute_force(spark, sf_dir):
     found = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in found]), np.array([r.embedding for r in found], float)
