@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphflow.llm import ann, bpe, components, licenses, lm, media, mixing, ngram_join, pii, toxicity, urls
+from glyphflow.llm import ann, bpe, common, components, licenses, lm, media, mixing, ngram_join, pii, toxicity, urls
 from glyphflow.llm.common import crc_mod
 
 
@@ -19,6 +19,27 @@ def words(text):
     return (text or "").encode().lower().split()
 
 
+def test_tables_need_a_shared_folder_and_go_when_discarded(spark, tmp_path):
+    from pathlib import Path
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda key, other: other)
+    alone = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://x:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(alone)
+    before = spark.conf.get(common.CLEANUP)
+    t = common.written(spark.range(9).repartition(3), "gone")
+    (path,) = {Path(f.removeprefix("file:")).parent for f in t.inputFiles()}
+    assert t.count() == 9 and path.exists() and spark.conf.get(common.CLEANUP) == before
+    common.discard(t)
+    assert not path.exists()
+
+
+def test_fresh_names():
+    docs = type("D", (), {"columns": ["A", "_a", "b"]})
+    assert common.fresh(docs, "a") == "__a" and common.fresh(docs, "c") == "c"
+
+
 # 1
 
 
@@ -316,7 +337,9 @@ def test_join_of_nothing(empty):
     assert ngram_join.joined(empty).count() == 0
 
 
-def test_components_of_a_chain_a_star_and_loops(spark):
+@pytest.mark.parametrize("at_once", [1 << 19, 10])
+def test_components_of_a_chain_a_star_and_loops(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 50)] + [(70, 70), (71, 72), (72, 71)]
     got = {r.v: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
     assert got == {**{i: 100 for i in range(101, 161)}, **{i: 0 for i in range(1, 50)}, 72: 71}
