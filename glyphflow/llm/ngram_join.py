@@ -30,7 +30,7 @@ RANGES = 32
 #: Postings before each one that are tried before all pairs of what is then still apart.
 NEAR = 16
 #: Rows of a part of a posting list, in which neighbours are looked for; pairs across parts come with all other pairs.
-LIST = 256
+LIST = 64
 K = np.uint64(0x9E3779B97F4A7C15)
 
 
