@@ -91,13 +91,15 @@ class Lexicon:
             for known, half in zip(self.halves, (t[: len(t) // 2], t[len(t) // 2 :]), strict=True):
                 known[half] = known.get(half, 0) | 7 << len(t) - 1
         self.sizes = tuple(sorted({len(h) for h in known}) for known in self.halves)
+        first, last = ("|".join(map(re.escape, sorted(known))) for known in self.halves)
+        self.rough = re.compile(f"^(?:{first})|(?:{last})$" if first else "(?!)").search  # without lengths, but most words end here
         self.letters = {"".join(sorted(t)) for t, stem, _ in terms if k and not stem and len(t) >= FUZZY_FROM}
         self.known: dict[str, tuple[int, bool] | None] = {}
 
     def gate(self, word: str) -> bool:
         first, last = self.halves
         n = len(word)
-        return any(first.get(word[:i], 0) >> n & 1 for i in self.sizes[0]) or any(last.get(word[n - i :], 0) >> n & 1 for i in self.sizes[1] if i <= n)
+        return self.rough(word) is not None and (any(first.get(word[:i], 0) >> n & 1 for i in self.sizes[0]) or any(last.get(word[n - i :], 0) >> n & 1 for i in self.sizes[1] if i <= n))
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}  # what this process has met stays here
