@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import table, tidy, written
 
-#: Pivots at most, all dimensions together; they and the cells' radii are what the driver holds.
-MOST_CELLS = 4096
+#: Pivots at most, all dimensions together; they and the cells' radii are what the driver holds. Queries that meet a shard at once.
+MOST_CELLS, SLICE = 4096, 1 << 17
 #: Share of the lengths' product that rounding may move an inner product by.
 ROUNDING = 1e-9
 
@@ -170,8 +170,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.
     cells = Cells.of(rows, rows.count(), shard_rows)
     kind = rows.schema["v"].dataType.simpleString()
     placed = written(dealt(rows, cells), "ann-cells")
-    for r in placed.groupBy("dim", "cell").count().collect():
-        cells.parts[r["dim"]][r["cell"]] = -(-r["count"] // shard_rows)
+    queries = 0
+    for r in placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("id") % every == 0).alias("queries")).collect():
+        cells.parts[r["dim"]][r["cell"]] = -(-r["rows"] // shard_rows)
+        queries += r["queries"]
+    slices = max(1, -(-queries // SLICE))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         x, dim, cell = stacked(part["v"]), int(part["dim"].iloc[0]), int(part["cell"].iloc[0])
@@ -211,7 +214,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.
                         rows = []
                         for cell in np.flatnonzero(go.any(axis=0)).tolist():
                             who = np.flatnonzero(go[:, cell])
-                            rows += [(dim, cell, p, int(part["id"].iloc[0]) % 64 if again else 0, part["id"].to_numpy()[who], list(part["v"].to_numpy()[who]), bars[who]) for p in range(cells.parts[dim][cell])]
+                            rows += [(dim, cell, p, int(part["id"].iloc[0]) // every % slices, part["id"].to_numpy()[who], list(part["v"].to_numpy()[who]), bars[who]) for p in range(cells.parts[dim][cell])]
                         yield pd.DataFrame(rows, columns=["dim", "cell", "part", "slice", "ids", "vectors", "bars"])
 
         return run
@@ -229,9 +232,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.
     def searched(queries: DataFrame, again: bool) -> DataFrame:
         """Queries meet a shard in slices, so that no task holds all of them."""
         ask = queries.mapInPandas(visiting(again), packs)
-        have = trees.select("dim", "cell", "part", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63 if again else 0).cast("long"))).alias("slice"))
+        have = trees.select("dim", "cell", "part", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"))
         keys = ["dim", "cell", "part", "slice"]
-        have = have.join(ask.select(*keys).distinct(), keys, "left_semi") if again else have
         return ask.groupBy(*keys).cogroup(have.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
 
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -743,9 +743,10 @@ def test_nearest_is_exact_at_factor_one(spark):
     assert len(relaxed & {g[:1] + g[2:3] for g in got}) >= 0.9 * len(got)
 
 
-@pytest.mark.parametrize("shard_rows", [10_000, 40])
-def test_nearest_of_hundreds_of_equal_scores(spark, shard_rows):
-    """Different vectors with one inner product with the queries, over one shard and over many."""
+@pytest.mark.parametrize(("shard_rows", "a_slice"), [(10_000, 1 << 17), (40, 1 << 17), (40, 5)])
+def test_nearest_of_hundreds_of_equal_scores(spark, monkeypatch, shard_rows, a_slice):
+    """Different vectors with one inner product with the queries, over one shard and over many, at once and in slices."""
+    monkeypatch.setattr(ann, "SLICE", a_slice)
     r = np.random.default_rng(6)
     x = [(i, [1.0, 0.0, 0.0]) for i in (0, 20)] + [(i, [0.5, float(a), float(b)]) for i, (a, b) in enumerate(r.normal(size=(400, 2)), 1) if i != 20]
     df = spark.createDataFrame(x, "vec_id long, embedding array<double>").repartition(3)
