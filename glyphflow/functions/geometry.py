@@ -41,14 +41,16 @@ def edge(points: str, i: int, j: int) -> str:
 def box_order(points: str) -> Column:
     """Corners as top left, top right, bottom right, bottom left: two pairs by x, in the order given where x is equal.
 
-    A corner's place by x is the number of corners that come before it, so that four of them need no sort.
+    Five comparisons put four corners in order, by x and then by place, without a sort that Spark would interpret.
     """
-    at = lambda i: f"({' + '.join(f'IF({points}[{j}].x < {points}[{i}].x' + (f' OR {points}[{j}].x = {points}[{i}].x' if j < i else '') + ', 1, 0)' for j in range(4) if j != i)})"
-    nth = lambda n, axis: "CASE " + " ".join(f"WHEN {at(i)} = {n} THEN {points}[{i}].{axis}" for i in range(3)) + f" ELSE {points}[3].{axis} END"
-    s = [{axis: nth(n, axis) for axis in "xy"} for n in range(4)]
-    low_left, low_right = f"({s[1]['y']}) > ({s[0]['y']})", f"({s[3]['y']}) > ({s[2]['y']})"
-    one = lambda first, a, b: "named_struct(" + ", ".join(f"'{axis}', IF({first}, {s[a][axis]}, {s[b][axis]})" for axis in "xy") + ")"
-    return F.expr(f"array({one(low_left, 0, 1)}, {one(low_right, 2, 3)}, {one(low_right, 3, 2)}, {one(low_left, 1, 0)})")
+    p = [f"named_struct('x', {points}[{i}].x, 'i', {i}, 'y', {points}[{i}].y)" for i in range(4)]
+    low, high = (lambda a, b: f"least({a}, {b})"), (lambda a, b: f"greatest({a}, {b})")
+    a, b, c, d = low(p[0], p[1]), high(p[0], p[1]), low(p[2], p[3]), high(p[2], p[3])
+    mid = high(a, c), low(b, d)
+    s = [low(a, c), low(*mid), high(*mid), high(b, d)]
+    one = lambda first, i, j: f"IF({first}, named_struct('x', {s[i]}.x, 'y', {s[i]}.y), named_struct('x', {s[j]}.x, 'y', {s[j]}.y))"
+    left, right = f"{s[1]}.y > {s[0]}.y", f"{s[3]}.y > {s[2]}.y"
+    return F.expr(f"array({one(left, 0, 1)}, {one(right, 2, 3)}, {one(right, 3, 2)}, {one(left, 1, 0)})")
 
 
 def signed_area(points: str, corners: int | None = None) -> Column:
