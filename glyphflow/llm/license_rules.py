@@ -90,7 +90,7 @@ NOTICES = (
     (2, "gpl", "you should have received a copy", "you should have received a copy of the gnu (?:lesser |affero )?general public license", 0.7),
     (1, "gpl", "free software foundation", "published by the free software foundation", 0.6),
     (1, "gpl", "gnu org licenses", "(?:www )?gnu org licenses(?: gpl(?: \\d(?: \\d)?)?(?: html| txt)?)?", 0.8),
-    (1, "gpl", "copyleft", "(?:strong|weak )?copyleft license", 0.4),
+    (1, "gpl", "copyleft", "(?:strong |weak )?copyleft license", 0.4),
     (1, "mpl-2.0", "mozilla org mpl", "(?:if a copy of the mpl was not distributed with this file.{0,60}? )?mozilla org mpl 2 0", 0.95),
     (0, "mpl-2.0", "this source code form", "this source code form is subject to the terms of the mozilla public license v 2 0", 0.95),
     (1, "epl", "eclipse org legal", "(?:www )?eclipse org legal epl(?: v\\d+| 2 0| v10)?(?: html)?", 0.85),

@@ -1,12 +1,14 @@
 """License scans in DataFrame operations only: ordered signature rules behind a keyword filter.
 
-A text is brought to words with one space around each. A rule's expression runs only on texts that hold the rule's keyword, and
-keywords are only sought where one of a few stems stands. A detection inside another of the same or a higher priority is dropped.
+A text is brought to words with one space around each. A rule's expression runs on all texts that hold the rule's keyword, as each of
+its matches does; one expression finds the keywords. A detection inside another of the same or a higher priority is dropped.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +20,6 @@ from .license_rules import all_rules
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: What a text holds one of, or has no detection: a short look before the long list of keywords.
-STEMS = (
-    " licen", " copyright", " copyleft", " spdx ", " gpl", " lgpl", " agpl", " gfdl", " mpl", " epl", " cddl", " eupl", " bsd", " apache", " cc by", " cc0", " creative", " public", " rights ", " vorbehalten", " derechos", " droits", " permission", " redistribution", " warranty", " proprietary",
-    " unlicense", " wtfpl", " software",
-)
-
 DETECTION = "struct<priority int, n int, label string, start int, stop int, weight double>"
 
 
@@ -32,13 +28,25 @@ def rules() -> list[dict]:
 
 
 def grouped() -> list[dict]:
-    """The rules by keyword."""
+    """The rules by keyword, without the space before it."""
     out: dict[str, list[dict]] = {}
     for r in rules():
-        out.setdefault(r["keyword"], []).append({k: v for k, v in r.items() if k != "keyword"})
+        out.setdefault(r["keyword"].removeprefix(" "), []).append({k: v for k, v in r.items() if k != "keyword"})
     return [{"keyword": k, "rules": v} for k, v in out.items()]
 
 
+def longest(words: Iterable[str]) -> str:
+    """An expression, branching letter by letter, of the longest of the words that stand at a place."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        tails.setdefault(w[:1], []).append(w[1:])
+    ends = tails.pop("", None)
+    if not tails:
+        return ""
+    branches = "|".join(re.escape(c) + longest(t) for c, t in tails.items())
+    return f"(?:{branches})?" if ends else f"(?:{branches})" if len(tails) > 1 else branches
+
+
 def words_spaced(text: Column) -> Column:
     """Lower-cased words with one space before and after each; one space if there are none."""
     return F.concat(F.lit(" "), F.ltrim(F.regexp_replace(F.concat(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(" ")), NOT_WORD, " ")))
@@ -69,8 +77,9 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumn("n_words", (F.length("spaced") - F.length(F.replace("spaced", F.lit(" "), F.lit(""))) - 1).cast("long"))
     schema = "array<struct<keyword string, rules array<struct<priority int, label string, regex string, weight double, n int>>>>"
     out = out.withColumn("groups", F.from_json(F.lit(json.dumps(grouped())), schema))
-    some = " OR ".join(f"contains(spaced, '{stem}')" for stem in STEMS)
-    out = out.withColumn("groups", F.expr(f"IF({some}, filter(groups, g -> contains(spaced, g.keyword)), slice(groups, 1, 0))"))
+    # At each word the longest keyword is found, of which all others there are beginnings.
+    out = out.withColumn("held", F.array_distinct(F.regexp_extract_all("spaced", F.lit(f" (?=({longest(g['keyword'] for g in grouped())}))"), F.lit(1))))
+    out = out.withColumn("groups", F.expr("IF(size(held) > 0, filter(groups, g -> exists(held, h -> startswith(h, g.keyword))), slice(groups, 1, 0))"))
     parts = []
     for label, phrase in BASE:
         first, n = phrase.split()[0], len(phrase.split())
@@ -79,7 +88,7 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     some = " OR ".join(f"contains(spaced, ' {phrase} ')" for _, phrase in BASE)
     out = out.withColumn("words", F.when(F.expr(some), F.split(F.trim("spaced"), " ")).otherwise(F.array().cast("array<string>")))
     out = out.withColumn("base", F.expr(f"IF(size(words) > 0, concat({', '.join(parts)}), cast(array() AS array<struct<word bigint, label string>>))"))
-    out = out.withColumn("detections", F.expr(f"IF(size(groups) > 0, flatten(transform(groups, g -> flatten(transform(g.rules, r -> {PLACES})))), cast(array() AS array<{DETECTION}>))"))
+    out = out.withColumn("detections", F.expr(f"IF(size(groups) > 0, flatten(transform(groups, g -> flatten(transform(filter(g.rules, r -> rlike(spaced, r.regex)), r -> {PLACES})))), cast(array() AS array<{DETECTION}>))"))
     return out.withColumn("detections", F.expr(FREE)).select(*(F.col(f"doc.`{c}`").alias(c) for c in kept), "n_words", "base", "detections")
 
 

@@ -405,6 +405,59 @@ def test_licenses_of_a_table_of_texts(spark):
         assert sorted({d.label for d in r.detections}) == r.expected, r.text
 
 
+#: Matches of rules that hold no word for a license, right or permission.
+UNNAMED = (
+    ("Released under MIT", ["mit"]),
+    ("published under the terms of the ISC", ["isc"]),
+    ("ASL 2.0", ["apache-2"]),
+    ("OFL-1.1", ["ofl-1.1"]),
+    ("Artistic 2.0", ["artistic-2.0"]),
+    ("GNU Free Documentation, version 1.3 or later", ["gfdl-1.3-or-later"]),
+    ("SSPL", ["sspl"]),
+    ("BUSL 1.1", ["busl-1.1"]),
+    ("ODbL v1.0", ["odbl-1.0"]),
+    ("Open Government 3.0", ["open-government-3.0"]),
+    ("Altered source versions must be plainly marked as such, and must not be misrepresented", ["zlib"]),
+    ("You can buy me a beer in return", ["beerware"]),
+    ("with Reserved Font Name X", ["ofl"]),
+    ("Commons Clause", ["commons-clause"]),
+    ("use restrictions set forth in Attachment A", ["openrail"]),
+    ("Gemma Terms of Use", ["gemma"]),
+    ("Unauthorized copying of this file", ["proprietary"]),
+    ("for personal and non-commercial use only", ["non-commercial"]),
+    ("a work of the United States Government", ["us-government"]),
+)
+
+
+def test_licenses_of_texts_without_the_word(spark):
+    df = spark.createDataFrame([(t, list(e)) for t, e in UNNAMED], "text string, expected array<string>")
+    for r in licenses.scanned(df).collect():
+        assert sorted({d.label for d in r.detections}) == r.expected, r.text
+
+
+def test_licenses_against_all_rules_on_all_texts(spark):
+    import random
+
+    given, rng = [t for t, _ in LICENSED + UNNAMED], random.Random(4)
+    texts = [*given, *("; ".join(rng.sample(given, 4)) for _ in range(20)), "a strong copyleft license", "strongcopyleft license", "apache org", "general public", "cc by ncx"]
+    every = [(r, re.compile(r["regex"])) for r in licenses.rules()]
+    got = {r.text: sorted(tuple(d) for d in r.detections) for r in licenses.scanned(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    for t in texts:
+        found = [(r["priority"], r["n"], r["label"], *m.span(), r["weight"]) for r, x in every for m in x.finditer(licenses_spaced(t))]
+        inside = lambda d, o: o[3] <= d[3] and o[4] >= d[4] and o[0] <= d[0] and (o[4] - o[3] > d[4] - d[3] or o[0] < d[0] or o[1] < d[1])
+        assert got[t] == sorted(d for d in found if not any(inside(d, o) for o in found)), t
+
+
+def test_licenses_longest_keywords():
+    import random
+
+    keywords, rng = [g["keyword"] for g in licenses.grouped()], random.Random(6)
+    at = re.compile(f" (?=({licenses.longest(keywords)}))")
+    for _ in range(300):
+        text = " " + " ".join(k[: rng.choice([len(k), len(k), rng.randint(1, len(k))])] for k in rng.sample(keywords, 5)) + " "
+        assert {k for k in keywords if f" {k}" in text} == {k for k in keywords for h in at.findall(text) if h.startswith(k)}, text
+
+
 def test_licenses_rules_hold_their_keywords(empty):
     assert 300 <= len(licenses.rules()) and len({r["keyword"] for r in licenses.rules()}) > 150
     for r in licenses.rules():
