@@ -31,6 +31,8 @@ RANGES = 32
 NEAR = 16
 #: Rows of a part of a posting list, in which neighbours are looked for; pairs across parts come with all other pairs.
 LIST = 64
+#: Bits of the table that rows are sieved by before a join with few keys, the same for any input; and those of a row of it.
+SIEVE_BITS, ROW_BITS = 24, 15
 K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -161,30 +163,43 @@ def signs(h: np.ndarray, text: np.ndarray, rows: int) -> list[np.ndarray]:
     return [total(h), total(mix64(h ^ K))]
 
 
+def sieved(rows: DataFrame, col: str, keys: DataFrame) -> DataFrame:
+    """The rows whose column may be the one column of the keys, before they are dealt out for a join with them, which still has to
+    follow: all that are among the keys, and of the others those that share a bit of a table of fixed size with a key."""
+    at = lambda c: F.expr(f"pmod(xxhash64({c}), {1 << SIEVE_BITS})")
+    bits = keys.select(at(keys.columns[0]).alias("_at")).select(F.shiftright("_at", ROW_BITS).alias("_row"), F.col("_at").bitwiseAND((1 << ROW_BITS) - 1).alias("_bit"))
+    bits = bits.repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    asked = rows.withColumn("_at", at(col)).withColumn("_row", F.shiftright("_at", ROW_BITS)).join(F.broadcast(bits), "_row")
+    byte = f"CAST(conv(hex(substring(_bits, CAST(_at & {(1 << ROW_BITS) - 1} AS int) div 8 + 1, 1)), 16, 10) AS int)"
+    return asked.where(f"shiftright({byte}, CAST(_at & 7 AS int)) & 1 = 1").select(*rows.columns)
+
+
 class Join:
     """The steps over one input; num/den is the least similarity."""
 
     def __init__(self, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str):
         self.docs, self.n, self.num, self.den, self.id_col, self.text_col = docs, n, num, den, id_col, text_col
         counts = counted(docs, n, text_col)
-        self.rows = written(described(docs, counts, n, num, den, id_col, text_col), "join-rows")
-        one = self.rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", *PARITY, "below", "prefix")))
+        rows = written(described(docs, counts, n, num, den, id_col, text_col), "join-rows")
+        one = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", *PARITY, "below", "prefix")))
         self.sets = written(one.withColumn("vid", F.monotonically_increasing_id()), "join-sets")
+        self.rows = written(rows.select("doc_id", "n", "s1", "s2"), "join-rows")
+        discard(rows)
         posted = self.sets.select("vid", "n", F.posexplode("prefix").alias("pos", "token"))
         # Counted before they meet: a long list is only ever dealt out, in joins that Spark can split and in salted parts.
         lists = written(posted.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "join-lists")
         part = F.expr(f"pmod(xxhash64(vid), (rows + {LIST - 1}) div {LIST})")
         posted = posted.join(lists.hint("merge"), "token").select("token", part.alias("part"), "vid", "n", "pos", F.col("vid").alias("c"))
         posted = written(posted.join(self.sets.select("vid", *PARITY), "vid"), "join-posted")
-        # Only postings that some other one of their n-gram passes all filters with that need no more than this.
-        found = posted.alias("x").join(posted.alias("y"), F.expr(f"x.token = y.token AND {self.may('x', 'y')}"), "left_semi")
-        self.shared = written(found.join(self.sets.select("vid", "below"), "vid"), "join-shared")
+        # Only postings that some other one of their n-gram passes all filters with that need no more than this. Parts are never
+        # negative; asking both sides for them has Spark deal out one table for both, as it does where their columns are the same.
+        self.shared = written(posted.alias("x").join(posted.alias("y"), F.expr(f"x.token = y.token AND x.part + y.part >= 0 AND {self.may('x', 'y')}"), "left_semi"), "join-shared")
         discard(posted, lists)
-        wanted = self.sets.join(self.shared.select("vid").distinct(), "vid", "left_semi").select("vid", "rep", "s1", "s2")
-        self.texts = written(self.packed(wanted), "join-texts")
+        self.wanted = written(self.sets.join(self.shared.select("vid").distinct(), "vid", "left_semi").select("vid", "rep", "s1", "s2", "n", "below"), "join-wanted")
+        self.texts = written(self.packed(), "join-texts")
 
-    def packed(self, wanted: DataFrame) -> DataFrame:
-        """(vid, z): the words of each set's text, packed."""
+    def packed(self) -> DataFrame:
+        """(vid, z): the words of each wanted set's text, packed. Of the texts that have the set any will do."""
         n = self.n
 
         @tidy
@@ -193,14 +208,12 @@ class Join:
             for whole in batches:
                 for batch in slices(whole, "_text"):
                     texts = batch.column("_text").to_pylist()
-                    s1, s2 = signs(*sets_of(texts, n, hashes), len(texts))
-                    own = np.flatnonzero((s1 == batch.column("s1").to_numpy()) & (s2 == batch.column("s2").to_numpy()))
-                    z = [zlib.compress(b" ".join(words_of(texts[i])), 1) for i in own]
-                    yield pa.RecordBatch.from_arrays([batch.column("vid").take(pa.array(own)), pa.array(z, pa.binary())], ["vid", "z"])
+                    z = [zlib.compress(b" ".join(words_of(t)), 1) for t in texts]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, signs(*sets_of(texts, n, hashes), len(texts))), pa.array(z, pa.binary())], ["s1", "s2", "z"])
 
-        docs = self.docs.select(F.col(self.id_col).alias("_id"), F.col(self.text_col).alias("_text"))
-        both = docs.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))).select("vid", "s1", "s2", "_text")
-        return both.mapInArrow(pack, "vid long, z binary").groupBy("vid").agg(F.first("z").alias("z"))
+        docs = sieved(self.docs.select(F.col(self.id_col).alias("_id"), F.col(self.text_col).alias("_text")), "_id", self.wanted.select("rep"))
+        packs = docs.select("_text").mapInArrow(pack, "s1 long, s2 long, z binary")
+        return packs.join(self.wanted.select("vid", "s1", "s2"), ["s1", "s2"]).groupBy("s1", "s2", "vid").agg(F.first("z").alias("z")).select("vid", "z")
 
     def may_link(self, n: str, m: str) -> str:
         """SQL: the sizes can link. An intersection i links if (num + den) * i >= num * (n + m)."""
@@ -229,7 +242,7 @@ class Join:
         the join is one that Spark can split or broadcast for."""
         posted = self.shared.drop("c").join(roots, F.col("vid") == F.col("v"), "left").withColumn("c", F.coalesce("root", "vid")).drop("v", "root")
         tokens = written(posted.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token"), "join-mixed")
-        return posted.join(tokens, "token", "left_semi")
+        return sieved(posted, "token", tokens).join(tokens, "token", "left_semi")
 
     def may(self, x: str, y: str) -> str:
         """SQL: length, position and parities of a pair of postings of one n-gram."""
@@ -240,19 +253,29 @@ class Join:
         """Pairs a < b of different components with less than so many postings between them, and how far apart they are at
         least: as many rows as postings at most for each of them, however large a group is."""
         by = Window.partitionBy("token", "part").orderBy("n", "vid")
-        x = F.struct("vid", "n", "pos", "c", "below", *PARITY)
+        x = F.struct("vid", "n", "pos", "c", *PARITY)
         rows = posted.select(x.alias("x"), F.array(*(F.lag(x, i).over(by) for i in range(1, most + 1))).alias("before"))
-        kept = f"transform(filter(before, y -> y IS NOT NULL AND {self.may('x', 'y')} AND {self.suffix('x', 'y')}), y -> named_struct('vid', y.vid, 'apart', {self.apart('x', 'y')}))"
-        rows = rows.select("x.vid", F.explode(F.expr(kept)).alias("y"))
-        return rows.select(F.least("vid", "y.vid").alias("a"), F.greatest("vid", "y.vid").alias("b"), "y.apart").distinct()
+        kept = f"transform(filter(before, y -> y IS NOT NULL AND {self.may('x', 'y')}), y -> named_struct('vid', y.vid, 'pos', y.pos, 'apart', {self.apart('x', 'y')}))"
+        rows = rows.select("x.vid", "x.pos", F.explode(F.expr(kept)).alias("y"))
+        at = F.expr("IF(vid < y.vid, named_struct('i', pos, 'j', y.pos), named_struct('i', y.pos, 'j', pos))")
+        pairs = rows.select(F.least("vid", "y.vid").alias("a"), F.greatest("vid", "y.vid").alias("b"), "y.apart", at.alias("at"))
+        return self.fitting(pairs.groupBy("a", "b", "apart").agg(F.min("at").alias("at")))
 
     def crossing(self, posted: DataFrame) -> DataFrame:
         """All pairs of those postings, in different components, through all filters."""
-        pairs = posted.alias("x").join(posted.alias("y"), F.expr(f"x.token = y.token AND x.vid < y.vid AND {self.may('x', 'y')} AND {self.suffix('x', 'y')}"))
-        return pairs.select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b")).distinct()
+        pairs = posted.alias("x").join(posted.alias("y"), F.expr(f"x.token = y.token AND x.vid < y.vid AND {self.may('x', 'y')}"))
+        pairs = pairs.select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b"), F.struct(F.col("x.pos").alias("i"), F.col("y.pos").alias("j")).alias("at"))
+        return self.fitting(pairs.groupBy("a", "b").agg(F.min("at").alias("at")))
+
+    def fitting(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, ..., at) that pass the suffix filter at one of their common n-grams; pairs that link do at each of them.
+        What it needs comes by set, as postings are many more than the sets and pairs that get here."""
+        for v, s, pos in (("b", "y", "j"), ("a", "x", "i")):
+            pairs = pairs.join(self.wanted.select(F.col("vid").alias(v), F.col("n").alias(f"{s}n"), F.col("below").alias(f"{s}b")), v).withColumn(s, F.struct(F.col(f"{s}n").alias("n"), F.col(f"at.{pos}").alias("pos"), F.col(f"{s}b").alias("below")))
+        return pairs.where(self.suffix("x", "y")).drop("x", "xn", "xb", "y", "yn", "yb", "at")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link."""
+        """The pairs (a, b) that link. They are read more than once, and so have to be written."""
         n, num, den = self.n, self.num, self.den
 
         @tidy
@@ -270,7 +293,7 @@ class Join:
                 keep = pa.array(keep, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
 
-        t = self.texts
+        t = sieved(self.texts, "vid", pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
         both = pairs.select("a", "b").join(t.select(F.col("vid").alias("b"), F.col("z").alias("zb")), "b").join(t.select(F.col("vid").alias("a"), F.col("z").alias("za")), "a")
         return both.select("a", "b", "za", "zb").mapInArrow(check, "a long, b long")
 
@@ -286,9 +309,9 @@ class Join:
         more = written(self.around(self.mixed(roots), NEAR).select("a", "b").join(first, ["a", "b"], "left_anti"), "join-near")
         known = lambda r: r.select(F.col("v").alias("a"), F.col("root").alias("b"))
         again = components(known(roots).unionByName(self.verified(more)))
-        rest = self.crossing(self.mixed(again)).join(first.unionByName(more), ["a", "b"], "left_anti")
+        rest = written(self.crossing(self.mixed(again)).join(first.unionByName(more), ["a", "b"], "left_anti"), "join-rest")
         last = components(known(again).unionByName(self.verified(rest)))
-        discard(first, more, roots, again)
+        discard(first, more, rest, roots, again)
         return last
 
 
@@ -304,7 +327,7 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: s
     named = j.sets.select("vid", "rep", "s1", "s2").join(j.roots(), F.col("vid") == F.col("v"), "left").withColumn("c", F.coalesce("root", "vid"))
     smallest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     classes = named.join(smallest, "c").select("s1", "s2", "component_id")
-    discard(j.shared, j.texts)
+    discard(j.shared, j.wanted, j.texts)
     return j.rows.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -312,7 +335,7 @@ def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: st
     """All links between different texts as (a, b), and membership as (doc_id, text_id); a text's id is its smallest document."""
     j = Join(docs, n, num, den, id_col, text_col)
     names = j.sets.select("vid", "rep", "s1", "s2")
-    pairs = j.verified(j.crossing(j.shared)).join(names.select(F.col("vid").alias("a"), F.col("rep").alias("ra")), "a").join(names.select(F.col("vid").alias("b"), F.col("rep").alias("rb")), "b")
+    pairs = j.verified(written(j.crossing(j.shared), "join-rest")).join(names.select(F.col("vid").alias("a"), F.col("rep").alias("ra")), "a").join(names.select(F.col("vid").alias("b"), F.col("rep").alias("rb")), "b")
     members = j.rows.join(names, ["s1", "s2"]).select("doc_id", F.col("rep").alias("text_id"))
     return pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")), members
 

@@ -333,6 +333,33 @@ def test_join_of_a_large_group_of_near_copies(spark, monkeypatch):
     assert 1 < len({c for _, _, c in got}) < 220
 
 
+def test_join_deals_out_no_texts_that_share_nothing(spark):
+    """Shuffles take disk: words are long here, so that they would show. Tables count as too large for a broadcast."""
+    r = np.random.default_rng(9)
+    texts = [" ".join(r.bytes(100).hex() for _ in range(60)) for _ in range(300)]
+    rows = [*enumerate(texts), (300, texts[7] + " more"), (301, texts[8])]
+    status = spark.sparkContext._jsc.sc().statusStore()
+    before = status.executorSummary("driver").totalShuffleWrite()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = Counter(map(tuple, ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    moved = status.executorSummary("driver").totalShuffleWrite() - before
+    assert got == Counter([*((i, 58, i) for i in range(300)), (300, 59, 7), (301, 58, 8)])
+    assert 0 < moved < sum(map(len, texts)) / 4
+
+
+def test_a_sieve_keeps_all_keys_and_little_else(spark):
+    rows = spark.range(20_000).selectExpr("IF(id = 0, NULL, CAST(id AS string)) AS k", "id")
+    keys = spark.range(0, 20_000, 10).selectExpr("IF(id = 0, NULL, CAST(id AS string)) AS other")
+    kept = {x["id"] for x in ngram_join.sieved(rows, "k", keys).collect()}
+    assert kept >= set(range(0, 20_000, 10)) and len(kept) < 2_100
+    assert ngram_join.sieved(rows, "k", keys).columns == rows.columns
+    assert ngram_join.sieved(rows, "k", keys.limit(0)).count() == 0
+
+
 def test_join_of_nothing(empty):
     assert ngram_join.joined(empty).count() == 0
 
