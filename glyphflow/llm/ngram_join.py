@@ -168,7 +168,7 @@ def sieved(rows: DataFrame, col: str, keys: DataFrame) -> DataFrame:
     follow: all that are among the keys, and of the others those that share a bit of a table of fixed size with a key."""
     at = lambda c: F.expr(f"pmod(xxhash64({c}), {1 << SIEVE_BITS})")
     bits = keys.select(at(keys.columns[0]).alias("_at")).select(F.shiftright("_at", ROW_BITS).alias("_row"), F.col("_at").bitwiseAND((1 << ROW_BITS) - 1).alias("_bit"))
-    bits = bits.repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    bits = bits.distinct().repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     asked = rows.withColumn("_at", at(col)).withColumn("_row", F.shiftright("_at", ROW_BITS)).join(F.broadcast(bits), "_row")
     byte = f"CAST(conv(hex(substring(_bits, CAST(_at & {(1 << ROW_BITS) - 1} AS int) div 8 + 1, 1)), 16, 10) AS int)"
     return asked.where(f"shiftright({byte}, CAST(_at & 7 AS int)) & 1 = 1").select(*rows.columns)
